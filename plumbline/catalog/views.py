@@ -6,7 +6,7 @@ from plumbline.plans.fixtures import CONDITIONS
 
 
 def r6(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0e0)"
+    return f"(round(CAST({expr} AS DOUBLE) + 1e-10, 6) + 0e0)"
 
 
 def with_(*parts: str) -> str:

@@ -20,8 +20,12 @@ def as_col(value: Column | str | float | int) -> Column:
 
 
 def r6(value: Column | str) -> Column:
-    """Six-decimal double without a negative zero."""
-    return F.round(as_col(value).cast("double"), 6) + F.lit(0.0)
+    """Six-decimal double for reports, without a negative zero.
+
+    The nudge of 1e-10 decides exact halves (common with counts over powers of
+    two) the same way whatever the last bit of the sum before it.
+    """
+    return F.round(as_col(value).cast("double") + 1e-10, 6) + F.lit(0.0)
 
 
 def total(items: list[Column]) -> Column:

@@ -102,3 +102,30 @@ def add_hashed_rank(df: DataFrame, key: str, by: list[str] | None = None, digits
         .withColumn("rank", F.col("_off") + F.row_number().over(inside))
         .drop("_range", "_off")
     )
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], **options) -> DataFrame:
+    """Linear-interpolation quantiles without holding a scope's values in one task.
+
+    Distinct values with their counts get prefix counts; the one or two values
+    that cover position ``q * (n - 1)`` are then picked by an aggregation.
+    """
+    keys = by or ["_all"]
+    base = df if by else df.withColumn("_all", F.lit(0))
+    counted = base.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    placed = add_prefix(counted, keys, value, {"_w": F.col("_w")}, **options)
+    aggs = []
+    for name, q in qs.items():
+        spot = F.lit(q) * (F.col("_w_total") - 1).cast("double")
+        for side, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
+            covers = (F.col("_w_before") <= at) & (at < F.col("_w_before") + F.col("_w"))
+            aggs.append(F.max(F.when(covers, F.col(value))).alias(f"_{side}_{name}"))
+        aggs.append(F.max(spot - F.floor(spot)).alias(f"_part_{name}"))
+    picked = placed.groupBy(*keys).agg(*aggs)
+    return picked.select(
+        *by,
+        *[
+            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n)
+            for n in qs
+        ],
+    )
