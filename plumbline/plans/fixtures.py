@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLASSES = 10
@@ -50,19 +50,18 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _centroids(embeddings: DataFrame) -> DataFrame:
     """One row: the class-by-dimension matrix of mean vectors (C x D doubles)."""
-    means = F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(DIMS)])
-    per_class = embeddings.groupBy("label").agg(means.alias("mean"))
-    return per_class.groupBy(F.lit("centroid").alias("model")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("label", "mean"))), lambda s: s["mean"]).alias("centroids")
-    )
+    cells = embeddings.select("label", F.posexplode("embedding").alias("pos", "v"))
+    means = cells.groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
 
+    def ordered(key, value):
+        return F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: s[value])
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2: centroid-classifier logits under seven conditions.
+    per_class = means.groupBy("label").agg(ordered("pos", "m").alias("mean"))
+    return per_class.groupBy(F.lit("centroid").alias("model")).agg(ordered("label", "mean").alias("centroids"))
 
-    Dot products are kept per stripe (position mod 8); dropping stripes then
-    needs no second pass over the vector.
-    """
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: centroid-classifier logits under seven conditions."""
     embeddings = table(spark, sf_dir, "embeddings")
     vector = F.transform("embedding", lambda v: v.cast("double"))
     scored = (
@@ -71,26 +70,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("vector", vector)
     )
 
-    def stripe(mean, offset):
-        terms = [F.col("vector")[i] * mean[i] for i in range(offset, DIMS, 8)]
-        out = terms[0]
-        for term in terms[1:]:
-            out = out + term
-        return out
+    def dots(drop_n):
+        def one(mean):
+            products = F.zip_with("vector", mean, lambda x, m: x * m)
+            kept = F.filter(products, lambda p, i: i % 8 >= drop_n) if drop_n else products
+            return F.aggregate(kept, F.lit(0.0), lambda s, p: s + p)
 
-    for offset in range(8):
-        scored = scored.withColumn(f"s{offset}", F.transform("centroids", lambda m: stripe(m, offset)))
+        return F.transform("centroids", one)
 
-    def kept(drop_n):
-        def one(k):
-            out = F.col(f"s{drop_n}")[k]
-            for offset in range(drop_n + 1, 8):
-                out = out + F.col(f"s{offset}")[k]
-            return out
-
-        return [one(k) for k in range(CLASSES)]
-
-    dots = scored.select("vec_id", "label", *[F.array(*kept(n)).alias(f"d{n}") for n in range(4)])
+    dotted = scored.select("vec_id", "label", *[dots(n).alias(f"d{n}") for n in range(4)])
     rows = [
         F.struct(
             F.lit(name).alias("condition"),
@@ -101,7 +89,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         for name, kind, severity, drop_n, gain in CONDITIONS
     ]
-    fanned = dots.select("vec_id", "label", F.inline(F.array(*rows)))
+    fanned = dotted.select("vec_id", "label", F.inline(F.array(*rows)))
     return fanned.select(
         "vec_id",
         F.concat(F.lit("s"), F.col("vec_id") % 25).alias("sample_id"),
@@ -110,7 +98,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "degradation_type",
         "severity",
         "label",
-        F.array(*[F.round(F.col("factor") * F.col("dots")[k], 6) for k in range(CLASSES)]).alias("logits"),
+        F.transform("dots", lambda d: F.round(F.col("factor") * d, 6)).alias("logits"),
     )
 
 
@@ -171,11 +159,13 @@ def scores_long(df: DataFrame) -> DataFrame:
     return df.select("event_id", "sample_id", "condition", "region", "err", F.inline(F.array(*pairs)))
 
 
-def _half(bits: F.Column, start: int) -> F.Column:
-    out = F.lit(0).cast("bigint")
-    for i in range(32):
-        out = out + F.when(bits[start + i], F.lit(1 << (31 - i))).otherwise(F.lit(0)).cast("bigint")
-    return out
+def _pack(bits: Column) -> Column:
+    """Bits to an integer, the first one most significant."""
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1) + b.cast("bigint"))
+
+
+def _shift(value: int, places: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(value).cast("bigint"), places.cast("int"))
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,23 +174,23 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e")
     )
     median = F.element_at(F.array_sort(F.slice("e", 2, DIMS - 1)), DIMS // 2)
-    bits = F.array(*[F.col("e")[i] > F.col("median") for i in range(DIMS)])
-    steps = F.array(*[F.col("e")[8 * y + x + 1] > F.col("e")[8 * y + x] for y in range(8) for x in range(7)])
+    inner = F.filter(F.sequence(F.lit(0), F.lit(DIMS - 2)), lambda i: i % 8 < 7)
+    steps = F.transform(inner, lambda i: F.get("e", i + 1) > F.get("e", i))
     originals = (
         vectors.withColumn("median", median)
-        .withColumn("bits", bits)
+        .withColumn("bits", F.transform("e", lambda v: v > F.col("median")))
         .withColumn("steps", F.concat(F.array_repeat(F.lit(False), 8), steps))
         .select(
             "vec_id",
             F.lit("train_val").alias("part"),
             "e",
-            _half(F.col("bits"), 0).alias("hi"),
-            _half(F.col("bits"), 32).alias("lo"),
-            _half(F.col("steps"), 0).alias("dhi"),
-            _half(F.col("steps"), 32).alias("dlo"),
+            _pack(F.slice("bits", 1, 32)).alias("hi"),
+            _pack(F.slice("bits", 33, 32)).alias("lo"),
+            _pack(F.slice("steps", 1, 32)).alias("dhi"),
+            _pack(F.slice("steps", 33, 32)).alias("dlo"),
         )
     )
-    flip = F.shiftleft(F.lit(1).cast("bigint"), (F.floor(F.col("vec_id") / 10) % 6).cast("int")) - 1
+    flip = _shift(1, F.floor(F.col("vec_id") / 10) % 6) - 1
     zeroed = F.transform("e", lambda v, i: F.when(i == 1, F.lit(0.0)).otherwise(v))
     copies = originals.filter(F.col("vec_id") % 10 == 0).select(
         (F.col("vec_id") + 1_000_000).alias("vec_id"),
@@ -209,7 +199,7 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hi",
         F.col("lo").bitwiseXOR(flip).alias("lo"),
         "dhi",
-        F.col("dlo").bitwiseXOR(F.shiftleft(F.lit(7).cast("bigint"), (F.col("vec_id") % 3).cast("int"))).alias("dlo"),
+        F.col("dlo").bitwiseXOR(_shift(7, F.col("vec_id") % 3)).alias("dlo"),
     )
     return originals.unionByName(copies).withColumn("sample_id", F.concat(F.lit("v"), F.lpad("vec_id", 8, "0")))
 
