@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numerics import linear_quantile, shuffle_index
 from plumbline.operators.prefix import add_hashed_rank
+from plumbline.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
 
@@ -38,7 +39,7 @@ def paired_bootstrap(df: DataFrame, by: list[str], key: str, values: list[str],
     broadcast only when counted small.
     """
     keys = by or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
+    base = cut_lineage((df if by else df.withColumn("_all", F.lit(0))).select(*keys, key, *values))
     ranked = add_hashed_rank(base.select(*keys, key, *values).withColumn("_key", F.md5(F.col(key).cast("string"))), "_key", keys, digits=2)
     draws = ranked.select(*keys, "rank", "size", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     draws = draws.select(*keys, "iteration", (shuffle_index(seed, F.col("size"), F.col("iteration"), F.col("rank")) + 1).alias("rank"))
@@ -103,6 +104,7 @@ CLUSTER_METRICS = {"eaurc": -1.0, "error_auprc": 1.0, "top_10_uncertainty_recall
 
 def clustered_bootstrap(per_sample: DataFrame, baseline: str, by: list[str], cluster: str, iterations: int, seed: int, score: str = "score_name") -> DataFrame:
     """Every score against the baseline score, clusters kept whole."""
+    per_sample = cut_lineage(per_sample.select(*by, score, cluster, *CLUSTER_METRICS))
     base = per_sample.filter(F.col(score) == baseline).drop(score)
     diff = cluster_differences(per_sample, base, [*by, score], cluster, CLUSTER_METRICS)
     return paired_bootstrap(diff, [*by, score], cluster, list(CLUSTER_METRICS), iterations, seed)
@@ -113,6 +115,7 @@ def boundary_bootstrap(table: DataFrame, cluster: str, iterations: int, seed: in
 
     Only samples that have both sides enter a comparison.
     """
+    table = cut_lineage(table.select("radius", "method", "region", cluster, "nll", "ece", "aurc", "eaurc"))
 
     def side(method, region):
         return table.filter((F.col("method") == method) & (F.col("region") == region)).drop("method", "region")

@@ -60,12 +60,17 @@ def _centroids(embeddings: DataFrame) -> DataFrame:
     return per_class.groupBy(F.lit("centroid").alias("model")).agg(ordered("label", "mean").alias("centroids"))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2: centroid-classifier logits under seven conditions."""
+def predictions(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
+    """V2: centroid-classifier logits under seven conditions.
+
+    ``units`` replaces the scored rows, e.g. by a stream; the centroids always
+    come from the stored table.
+    """
     embeddings = table(spark, sf_dir, "embeddings")
+    units = embeddings if units is None else units
     vector = F.transform("embedding", lambda v: v.cast("double"))
     scored = (
-        embeddings.withColumn("model", F.lit("centroid"))
+        units.withColumn("model", F.lit("centroid"))
         .join(F.broadcast(_centroids(embeddings)), "model")
         .withColumn("vector", vector)
     )

@@ -23,3 +23,41 @@ def resume_pending(conditions: DataFrame, stored: DataFrame, on: str, keys: list
         .filter((F.col("_rows") == expected_rows) & (F.col("_most") == 1))
     )
     return conditions.join(done.select(on), on, "left_anti")
+
+
+def write_split(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """Write one folder per split and return count and fingerprint of each.
+
+    The report is taken from the stored table, not from the frame, so it also
+    proves what was written.
+    """
+    from plumbline.sources.manifests import table_fingerprint
+
+    df.repartitionByRange("split", "sample_id").sortWithinPartitions("split", "sample_id").write.mode("overwrite").partitionBy("split").parquet(path)
+    return table_fingerprint(df.sparkSession.read.parquet(path), ["split"], columns)
+
+
+def write_parts(df: DataFrame, path: str, parts: list[str]) -> None:
+    """A10: replace exactly the partitions present in ``df``.
+
+    Files become visible when the job commits; a failed job leaves the old
+    partitions as they were.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+# The columns of the experiment log.
+LOG_FIELDS = (
+    "experiment_id timestamp status git_branch git_commit model dataset_split seed image_size batch_size epochs "
+    "learning_rate best_epoch val_miou val_ece val_nll val_brier cal_miou cal_ece cal_nll cal_brier test_miou "
+    "checkpoint_path notes"
+).split()
+
+
+def append_experiment(spark, record: dict, path: str) -> None:
+    """Append one record to the log; missing fields are empty."""
+    unknown = sorted(set(record) - set(LOG_FIELDS))
+    if unknown:
+        raise ValueError(f"unknown log fields {unknown}")
+    row = tuple("" if record.get(f) is None else str(record[f]) for f in LOG_FIELDS)
+    spark.createDataFrame([row], ", ".join(f"`{f}` string" for f in LOG_FIELDS)).write.mode("append").parquet(path)
