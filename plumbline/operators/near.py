@@ -22,6 +22,8 @@ from plumbline.operators.rows import head_per_group
 from plumbline.session import cut_lineage
 
 HOT_BUCKET = 20_000
+# Beyond this distance bands are too narrow for a second level to help.
+REFINED_DISTANCE = 7
 
 
 def join_halves(hi: str, lo: str) -> Column:
@@ -69,7 +71,7 @@ def _keyed(df: DataFrame, max_d: int, hot: DataFrame | None) -> DataFrame:
     ]
     rows = df.select("*", F.inline(F.array(*entries)))
     if hot is None:
-        return rows
+        return rows.withColumn("sub", F.lit(-1)).withColumn("sub_value", F.lit(0).cast("bigint"))
     flagged = rows.join(hot.withColumn("_hot", F.lit(True)), ["band", "value"], "left")
     by_width = {}
     for i, (_, width) in enumerate(bands):
@@ -97,6 +99,8 @@ def _first_hit(max_d: int) -> Column:
     x = F.col("h_a").bitwiseXOR(F.col("h_b"))
     bands = _layout(64, max_d + 1)
     same = F.col("band") == _first_zero(x, bands)
+    if max_d > REFINED_DISTANCE:
+        return same
     sub = None
     for i, (start, width) in enumerate(bands):
         first = _first_zero(_rest(x, start, width), _layout(64 - width, max_d + 1))
@@ -111,8 +115,10 @@ def _hot_buckets(df: DataFrame, max_d: int, limit: int) -> DataFrame:
 
 def _distinct_pairs(a: DataFrame, b: DataFrame | None, max_d: int, hot_bucket: int) -> DataFrame:
     """Pairs of distinct hash rows within ``max_d``; ``b`` None is a self-join."""
-    both = a.select("h") if b is None else a.select("h").unionByName(b.select("h"))
-    hot = _hot_buckets(both, max_d, hot_bucket)
+    hot = None
+    if max_d <= REFINED_DISTANCE:
+        both = a.select("h") if b is None else a.select("h").unionByName(b.select("h"))
+        hot = _hot_buckets(both, max_d, hot_bucket)
     keys = ["band", "value", "sub", "sub_value"]
 
     def side(df, suffix):
@@ -235,6 +241,8 @@ def close_vectors(probes: DataFrame, base: DataFrame, dims: int, radius: float,
     Only one block travels through the cell join; whole vectors are fetched for
     the pairs that are close in that block.
     """
+    blocks = min(blocks, dims)
+    grid_dims = min(grid_dims, dims // blocks)
     part = radius / math.sqrt(blocks) * (1 + 1e-9)
     width = 2.0 * part
     left = _blocks(probes, dims, blocks).select("block", F.col("vid").alias("va"), F.col("part").alias("pa"), F.explode(_cells("part", grid_dims, width, part)).alias("cell"))

@@ -22,6 +22,27 @@ def _range_code(value: Column, cuts: Column) -> Column:
     return 2 * below + F.when(F.array_contains(cuts, value), 1).otherwise(0)
 
 
+def _text_position(text: Column, skip: Column) -> Column:
+    """Order-preserving number from the seven bytes after a shared prefix."""
+    tail = F.hex(F.encode(F.substr(text, skip + 1, F.lit(7)), "UTF-8"))
+    return F.conv(F.rpad(F.substring(tail, 1, 14), 14, "0"), 16, 10).cast("double")
+
+
+def _shared_prefix(low: Column, high: Column) -> Column:
+    """Length of the prefix shared by the smallest and the largest text."""
+    lengths = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    return F.size(F.filter(lengths, lambda i: F.substr(low, F.lit(1), i) == F.substr(high, F.lit(1), i)))
+
+
+def _numeric_tie(df: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """``_tie``: a number that orders like the tie-breaker, for cutting only."""
+    if df.schema[tie].dataType.simpleString() != "string":
+        return df.withColumn("_tie", F.col(tie))
+    ends = df.groupBy(*keys).agg(F.min(tie).alias("_lo"), F.max(tie).alias("_hi"))
+    ends = ends.select(*keys, _shared_prefix(F.col("_lo"), F.col("_hi")).alias("_skip"))
+    return df.join(ends, keys).withColumn("_tie", _text_position(F.col(tie), F.col("_skip"))).drop("_skip")
+
+
 def add_prefix(
     df: DataFrame,
     by: list[str],
@@ -40,19 +61,21 @@ def add_prefix(
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
     base = base.select("*", *[expr.alias(f"_in_{name}") for name, expr in sums.items()])
+    if tie:
+        base = _numeric_tie(base, keys, tie)
     probabilities = [i / ranges for i in range(1, ranges)]
     cut_aggs = [
         F.count(F.lit(1)).alias("_rows"),
         F.array_distinct(F.percentile_approx(value, probabilities, 10_000)).alias("_cuts"),
     ]
     if tie:
-        cut_aggs.append(F.array_distinct(F.percentile_approx(tie, probabilities, 10_000)).alias("_tie_cuts"))
+        cut_aggs.append(F.array_distinct(F.percentile_approx("_tie", probabilities, 10_000)).alias("_tie_cuts"))
     cuts = base.groupBy(*keys).agg(*cut_aggs).filter(F.col("_rows") > heavy).drop("_rows")
     located = base.join(cuts, keys, "left")
     code = F.coalesce(_range_code(F.col(value), F.col("_cuts")), F.lit(0))
     located = located.withColumn("_range", code)
     if tie:
-        split = F.when(F.col("_range") % 2 == 1, _range_code(F.col(tie), F.col("_tie_cuts"))).otherwise(0)
+        split = F.when(F.col("_range") % 2 == 1, _range_code(F.col("_tie"), F.col("_tie_cuts"))).otherwise(0)
         located = located.withColumn("_sub", split).drop("_tie_cuts")
     else:
         located = located.withColumn("_sub", F.lit(0))

@@ -46,7 +46,7 @@ def split_groups(groups: DataFrame, group: str, seed: int, train: float = 0.8) -
 
 def grouped_split(df: DataFrame, group: str, seed: int, train: float = 0.8) -> DataFrame:
     """K2: split of groups, so no group crosses two parts."""
-    return df.join(split_groups(df.select(group).distinct(), group, seed, train), group)
+    return df.drop("split").join(split_groups(df.select(group).distinct(), group, seed, train), group)
 
 
 def exclusions(dev: DataFrame, test: DataFrame, size_repair: bool = True, conflicts: bool = True) -> DataFrame:
