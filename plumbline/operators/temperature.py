@@ -86,7 +86,10 @@ class _Search:
             self.initial = nll
         if nll < self.best_nll:
             self.best_nll, self.best_a = nll, self.a
-        if abs(grad) <= tolerance or self.high - self.low <= 1e-12:
+        # The size of the Newton step, not of the gradient, says how far the
+        # minimum is: on separable data both derivatives fade out together.
+        settled = grad == 0.0 or (curve > 0 and abs(grad / curve) <= tolerance * self.a)
+        if settled or self.high - self.low <= 1e-12:
             self.done = True
             return
         if grad > 0:
