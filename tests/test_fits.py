@@ -51,7 +51,7 @@ def test_grid_brackets_the_fit(predictions):
 
 
 def test_boundary_solution_is_flagged(spark):
-    rows = [("s", 0, [2.0, 0.0]), ("s", 1, [0.0, 2.0])] * 5
+    rows = [("s", 0, [0.5, 0.0]), ("s", 1, [0.0, 0.5])] * 5
     r = tp.fit_temperature(spark.createDataFrame(rows, "scope string, label int, logits array<double>"), "scope", 2).first()
     assert r.at_boundary and not r.converged and r.temperature == pytest.approx(0.05)
 
