@@ -69,11 +69,11 @@ def q_reliability_bins(spark, sf):
 
 
 def q_classwise_ece(spark, sf):
-    return rounded(cal.classwise_ece(unit_rows(spark, sf, keep=True), ["condition"]), "classwise_ece")
+    return rounded(cal.classwise_ece(unit_rows(spark, sf, keep=True), ["condition"], C), "classwise_ece")
 
 
 def q_classwise_ece_right(spark, sf):
-    return rounded(cal.classwise_ece(unit_rows(spark, sf, keep=True), ["condition"], edges="right"), "classwise_ece")
+    return rounded(cal.classwise_ece(unit_rows(spark, sf, keep=True), ["condition"], C, edges="right"), "classwise_ece")
 
 
 def q_calibration_summary(spark, sf):
@@ -128,7 +128,7 @@ def q_condition_deltas(spark, sf):
 def q_classwise_delta(spark, sf):
     df = sm.add_temperatures(fx.predictions(spark, sf), rules(spark), METHODS)
     u = sm.unit_stats(df, C, "temperature", keep=True)
-    per_class = cal.classwise_ece(u, ["method", "condition"])
+    per_class = cal.classwise_ece(u, ["method", "condition"], C)
     out = cmp.pivot_delta(per_class, ["condition", "class_id"], "method", "classwise_ece", "clean_global", "raw")
     return rounded(out, "clean_global", "raw", "delta")
 

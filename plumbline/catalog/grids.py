@@ -47,7 +47,7 @@ def q_bilinear(spark, sf):
 
 
 def q_blur(spark, sf):
-    return sp.gaussian_blur(grey(spark, sf), S, 7, 1.6, ["g"])
+    return sp.gaussian_blur(grey(spark, sf).select("sample_id", "y", "x", "g"), S, 7, 1.6, ["g"])
 
 
 def q_local_disagreement(spark, sf):

@@ -45,9 +45,15 @@ def ece(units: DataFrame, by: list[str], bins: int = BINS, edges: str = "left")
     return binned.groupBy(*(by or ["_all"])).agg(gap.alias("ece")).select(*by, "ece")
 
 
-def class_bins(units: DataFrame, by: list[str], bins: int = BINS, edges: str = "left", label: str = "label") -> DataFrame:
-    """Sums per (scope, class, bin) of the one-vs-rest probabilities."""
-    spread = units.select(*by, F.col(label).alias("_label"), F.posexplode("probs").alias("class_id", "_p"))
+def class_bins(units: DataFrame, by: list[str], classes: int, bins: int = BINS, edges: str = "left", label: str = "label") -> DataFrame:
+    """Sums per (scope, class, bin) of the one-vs-rest probabilities.
+
+    The fan-out names its elements: exploding the array column would make the
+    optimizer test the array for emptiness, with all of softmax written into a
+    filter below.
+    """
+    rows = [F.struct(F.lit(k).alias("class_id"), F.col("probs")[k].alias("_p")) for k in range(classes)]
+    spread = units.select(*by, F.col(label).alias("_label"), F.inline(F.array(*rows)))
     return spread.groupBy(*by, "class_id", EDGES[edges]("_p", bins).alias("_bin")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("_p").alias("_prob"),
@@ -55,9 +61,9 @@ def class_bins(units: DataFrame, by: list[str], bins: int = BINS, edges: str = "
     )
 
 
-def classwise_ece(units: DataFrame, by: list[str], bins: int = BINS, edges: str = "left", label: str = "label") -> DataFrame:
+def classwise_ece(units: DataFrame, by: list[str], classes: int, bins: int = BINS, edges: str = "left", label: str = "label") -> DataFrame:
     """one-vs-rest ECE per class, weighted over all rows of the scope."""
-    sums = class_bins(units, by, bins, edges, label)
+    sums = class_bins(units, by, classes, bins, edges, label)
     gap = F.sum(F.abs(F.col("_event") - F.col("_prob"))) / F.sum("_n")
     return sums.groupBy(*by, "class_id").agg(gap.alias("classwise_ece"))
 
@@ -93,61 +99,84 @@ def merge_bins(sums: DataFrame, by: list[str]) -> DataFrame:
 
 
 def slot_sums(units: DataFrame, by: list[str], classes: int, bins: int = BINS, label: str = "label") -> DataFrame:
-    """Per-class state of F10 in one pass: sums per (scope, slot, bin).
+    """State of every mergeable metric in one pass: sums per (scope, slot, bin).
 
     Slot -1 is the overall confidence; slots 0..C-1 are the one-vs-rest
-    probabilities. One fan-out keeps the input to a single scan and the map-side
-    combine shrinks it to (C+1) x bins rows per scope before the shuffle.
+    probabilities with the row, column and diagonal counts of their class, which
+    is all that the segmentation metrics need. One fan-out keeps the input to a
+    single scan and the map-side combine shrinks it to (C+1) x bins rows per
+    scope before the shuffle.
     """
-    zero = F.lit(0.0)
-    slots = [F.struct(F.lit(-1).alias("slot"), F.col("conf").alias("p"), F.col("correct").alias("hit"), F.col("nll"), F.col("brier"))]
+    zero, none = F.lit(0.0), F.lit(0).cast("bigint")
+    right = F.when(F.col("correct") == 1, F.col("conf")).otherwise(0.0)
+
+    def slot(number, p, hit, guess, both, loss, brier, right_conf):
+        named = dict(slot=F.lit(number), p=p, hit=hit, guess=guess, both=both, nll=loss, brier=brier, right_conf=right_conf)
+        return F.struct(*[column.alias(name) for name, column in named.items()])
+
+    slots = [slot(-1, F.col("conf"), F.col("correct"), none, none, F.col("nll"), F.col("brier"), right)]
     for k in range(classes):
-        event = (F.col(label) == k).cast("bigint")
-        slots.append(
-            F.struct(F.lit(k).alias("slot"), F.col("probs")[k].alias("p"), event.alias("hit"), zero.alias("nll"), zero.alias("brier"))
-        )
+        event, guess = (F.col(label) == k).cast("bigint"), (F.col("pred") == k).cast("bigint")
+        slots.append(slot(k, F.col("probs")[k], event, guess, event * guess, zero, zero, zero))
     spread = units.select(*by, F.inline(F.array(*slots)))
     return spread.groupBy(*by, "slot", bin_left("p", bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("p").alias("p_sum"),
-        F.sum("hit").alias("hit_sum"),
-        F.sum("nll").alias("nll_sum"),
-        F.sum("brier").alias("brier_sum"),
+        *[F.sum(c).alias(f"{c}_sum") for c in ("hit", "guess", "both", "nll", "brier", "right_conf")],
     )
 
 
 def merge_slots(sums: DataFrame, by: list[str]) -> DataFrame:
-    """One row per (scope, slot): count, ECE, NLL and Brier."""
-    n = F.sum("n")
+    """One row per (scope, slot); class slots carry IoU, Dice and accuracy."""
+    n, hit, guess, both = F.sum("n"), F.sum("hit_sum"), F.sum("guess_sum"), F.sum("both_sum")
+    right = F.sum("right_conf_sum")
     return sums.groupBy(*by, "slot").agg(
         n.alias("n"),
         (F.sum(F.abs(F.col("hit_sum") - F.col("p_sum"))) / n).alias("ece"),
         (F.sum("nll_sum") / n).alias("nll"),
         (F.sum("brier_sum") / n).alias("brier_score"),
+        (F.sum("p_sum") / n).alias("mean_confidence"),
+        F.try_divide(right, hit).alias("mean_correct_confidence"),
+        F.try_divide(F.sum("p_sum") - right, n - hit).alias("mean_wrong_confidence"),
+        F.try_divide(both, hit + guess - both).alias("iou"),
+        F.try_divide(2 * both, hit + guess).alias("dice"),
+        F.try_divide(both, hit).alias("accuracy"),
+        hit.alias("truth"),
+        both.alias("both"),
     )
 
 
-def calibration_summary(units: DataFrame, by: list[str], classes: int, bins: int = BINS, label: str = "label") -> DataFrame:
-    """NLL, Brier, ECE and the mean class-wise ECE per scope."""
-    slots = merge_slots(slot_sums(units, by, classes, bins, label), by)
+OVERALL = ("nll", "brier_score", "ece", "mean_confidence", "mean_correct_confidence", "mean_wrong_confidence")
+
+
+def merge_scopes(slots: DataFrame, by: list[str]) -> DataFrame:
+    """One row per scope with calibration, confidence and segmentation metrics."""
     overall, single = F.col("slot") == -1, F.col("slot") >= 0
 
-    def pick(name):
-        return F.max(F.when(overall, F.col(name)))
+    def mean(name):
+        return F.avg(F.when(single, F.col(name)))
 
     return (
         slots.groupBy(*_keys(by))
         .agg(
-            pick("n").alias("pixels"),
-            pick("nll").alias("nll"),
-            pick("brier_score").alias("brier_score"),
-            pick("ece").alias("ece"),
-            F.avg(F.when(single, F.col("ece"))).alias("mean_classwise_ece"),
+            F.max(F.when(overall, F.col("n"))).alias("pixels"),
+            *[F.max(F.when(overall, F.col(name))).alias(name) for name in OVERALL],
+            mean("ece").alias("mean_classwise_ece"),
+            F.try_divide(F.sum("both"), F.sum(F.when(single, F.col("truth")))).alias("pixel_accuracy"),
+            mean("accuracy").alias("mean_accuracy"),
+            mean("iou").alias("miou"),
+            mean("dice").alias("mean_dice"),
         )
-        .select(*by, "pixels", "nll", "brier_score", "ece", "mean_classwise_ece")
+        .drop("_all")
     )
 
 
+def calibration_summary(units: DataFrame, by: list[str], classes: int, bins: int = BINS, label: str = "label") -> DataFrame:
+    """NLL, Brier, ECE and the mean class-wise ECE per scope."""
+    merged = merge_scopes(merge_slots(slot_sums(units, by, classes, bins, label), by), by)
+    return merged.select(*by, "pixels", "nll", "brier_score", "ece", "mean_classwise_ece")
+
+
 def confidence_summary(units: DataFrame, by: list[str]) -> DataFrame:
     """mean confidence overall, when right and when wrong (null if none)."""
     return units.groupBy(*by).agg(

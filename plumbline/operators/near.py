@@ -269,7 +269,7 @@ def knn_cosine(df: DataFrame, unit: str, vector: str, dims: int, k: int, min_cos
     """
     radius = math.sqrt(2.0 - 2.0 * min_cos) * (1 + 1e-9)
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v))
-    unit_rows = df.select(F.col(unit).alias("unit"), F.transform(vector, lambda v: v / norm).alias("e"))
+    unit_rows = df.select(F.col(unit).alias("unit"), F.zip_with(vector, F.array_repeat(norm, F.size(vector)), lambda v, n: v / n).alias("e"))
     named = unit_rows.select("unit", "e", F.sha2(F.to_json("e"), 256).alias("vid"))
     sizes = named.groupBy("vid").agg(F.first("e").alias("e"), F.count(F.lit(1)).alias("n"))
     firsts = head_per_group(named.select("vid", "unit"), ["vid"], ["unit"], k + 1)

@@ -162,8 +162,8 @@ def degrade_turbidity(df: DataFrame, sample: str, height: Column, width: Column,
     return _replace(df, hazed(sample=sample, height=height, width=width, **parameters))
 
 
-def degrade_blur(df: DataFrame, sample: list[str], kernel_size: int, sigma: float) -> DataFrame:
-    return gaussian_blur(df, sample, kernel_size, sigma, list(CHANNELS))
+def degrade_blur(df: DataFrame, sample: list[str], kernel_size: int, sigma: float, height: Column | None = None, width: Column | None = None) -> DataFrame:
+    return gaussian_blur(df, sample, kernel_size, sigma, list(CHANNELS), height, width)
 
 
 @dataclass(frozen=True)
@@ -236,9 +236,8 @@ def apply_conditions(df: DataFrame, sample: str, conditions: tuple[Condition, ..
         rows.append(F.struct(F.lit(c.name).alias("condition"), *[v.alias(n) for v, n in zip(channels, CHANNELS)]))
     out = df.select(*rest, F.inline(F.array(*rows))) if rows else None
     for c in blurs:
-        blurred = degrade_blur(df, [sample], **c.parameters)
-        kept = df.select(*rest).join(blurred, [sample, "y", "x"]).withColumn("condition", F.lit(c.name))
-        kept = kept.select(*rest, "condition", *CHANNELS)
+        blurred = degrade_blur(df, [sample], height=height, width=width, **c.parameters)
+        kept = blurred.withColumn("condition", F.lit(c.name)).select(*rest, "condition", *CHANNELS)
         out = kept if out is None else out.unionByName(kept)
     return out
 

@@ -76,7 +76,7 @@ def add_prefix(
     located = located.withColumn("_range", code)
     if tie:
         split = F.when(F.col("_range") % 2 == 1, _range_code(F.col("_tie"), F.col("_tie_cuts"))).otherwise(0)
-        located = located.withColumn("_sub", split).drop("_tie_cuts")
+        located = located.withColumn("_sub", F.coalesce(split, F.lit(0))).drop("_tie_cuts")
     else:
         located = located.withColumn("_sub", F.lit(0))
     located = located.drop("_cuts")

@@ -25,7 +25,7 @@ def embed(df: DataFrame, make_predict_fn: Callable, inputs: str, width: int, out
     """As ``score_with_model``, with rows scaled to unit length."""
     scored = score_with_model(df, make_predict_fn, inputs, width, "_raw", **options)
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, v: a + v * v))
-    return scored.withColumn("_norm", norm).withColumn(out, F.transform("_raw", lambda v: v / F.col("_norm"))).drop("_raw", "_norm")
+    return scored.withColumn(out, F.zip_with("_raw", F.array_repeat(norm, F.size("_raw")), lambda v, n: v / n)).drop("_raw")
 
 
 def linear_predictor(width: int, classes: int = 4) -> Callable:

@@ -13,14 +13,15 @@ def _classes(n: int) -> Column:
 
 
 def confusion_counts(df: DataFrame, by: list[str], classes: int, label: str = "label", pred: str = "pred", ignore: int = IGNORE) -> DataFrame:
-    """Non-zero cells of F1; rows out of range on either side are dropped."""
+    """Non-zero cells of F1; rows out of range on either side are dropped.
+
+    The range test sits in the aggregate: as a filter it would be pushed below
+    the projection of ``pred`` and compute the prediction a second time.
+    """
     t, p = F.col(label), F.col(pred)
     inside = (t != ignore) & (t >= 0) & (t < classes) & (p >= 0) & (p < classes)
-    return (
-        df.filter(inside)
-        .groupBy(*by, t.cast("int").alias("target"), p.cast("int").alias("prediction"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    cells = df.groupBy(*by, t.cast("int").alias("target"), p.cast("int").alias("prediction"))
+    return cells.agg(F.count_if(inside).alias("n")).filter(F.col("n") > 0)
 
 
 def confusion_matrix(df: DataFrame, by: list[str], classes: int, **options) -> DataFrame:

@@ -157,35 +157,58 @@ def gaussian_weights(kernel: int, sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def gaussian_blur(df: DataFrame, sample: list[str], kernel: int, sigma: float, channels: list[str]) -> DataFrame:
+def gaussian_blur(
+    df: DataFrame, sample: list[str], kernel: int, sigma: float, channels: list[str], height: Column | None = None, width: Column | None = None
+) -> DataFrame:
     """Separable Gaussian with a mirrored border that skips the edge pixel.
 
     One scatter and one sum per axis. A mirrored source is never farther than
     the radius from its target, so the scatter range stays the plain window.
+    Other columns ride along with the centre pixel. ``height`` and ``width``
+    spare the size aggregation where the sizes are known.
     """
     if kernel < 3 or kernel % 2 == 0 or sigma <= 0:
         raise ValueError("blur needs an odd kernel of at least 3 and a positive sigma")
     radius, weights = kernel // 2, gaussian_weights(kernel, sigma)
-
-    def mirrored(t, position, extent):
-        period = F.greatest(2 * (extent - 1), F.lit(1))
-        share = F.lit(0.0)
+    table = F.array(*[F.lit(w) for w in weights[radius:]])
+    extra = [c for c in df.columns if c not in (*sample, "y", "x", *channels)]
+
+    def at_distance(d: Column) -> Column:
+        return F.when(F.abs(d) <= radius, F.get(table, F.abs(d).cast("int"))).otherwise(0.0)
+
+    def share(target: Column, source: Column, size: Column) -> Column:
+        last = size - 1
+        plain = at_distance(source - target)
+        left = F.when(source != 0, at_distance(source + target)).otherwise(0.0)
+        right = F.when(source != last, at_distance(2 * last - source - target)).otherwise(0.0)
+        # an image narrower than the radius is mirrored more than once
+        period = F.greatest(2 * last, F.lit(1))
+        folded = F.lit(0.0)
         for d, w in zip(range(-radius, radius + 1), weights):
-            folded = F.pmod(t + d, period)
-            source = F.when(extent == 1, 0).otherwise(F.least(folded, period - folded))
-            share = share + F.when(source == position, w).otherwise(0.0)
-        return share
-
-    def axis(name, size):
-        return _axis_scatter(name, size, F.greatest(F.col(name) - radius, F.lit(0)), F.least(F.col(name) + radius, size - 1), mirrored)
-
-    rows = _sized(df.select(*sample, "y", "x", *channels), sample)
-    across = rows.withColumn("_t", F.explode(axis("x", F.col("_w"))))
-    across = across.select(*sample, "y", "_h", F.col("_t.at").alias("x"), *[(F.col("_t.w") * F.col(c)).alias(c) for c in channels])
-    across = across.groupBy(*sample, "_h", "y", "x").agg(*[F.sum(c).alias(c) for c in channels])
-    down = across.withColumn("_t", F.explode(axis("y", F.col("_h"))))
-    down = down.select(*sample, F.col("_t.at").alias("y"), "x", *[(F.col("_t.w") * F.col(c)).alias(c) for c in channels])
-    return down.groupBy(*sample, "y", "x").agg(*[F.rint(F.sum(c)).cast("bigint").alias(c) for c in channels])
+            spot = F.pmod(target + d, period)
+            folded = folded + F.when(F.least(spot, period - spot) == source, w).otherwise(0.0)
+        return F.when(size == 1, 1.0).when(size > radius, plain + left + right).otherwise(folded)
+
+    def pass_along(rows: DataFrame, axis: str, size: str, keys: list[str]) -> DataFrame:
+        position = F.col(axis)
+        targets = F.sequence(F.greatest(position - radius, F.lit(0)), F.least(position + radius, F.col(size) - 1))
+        spread = rows.withColumn("_t", F.explode(targets))
+        spread = spread.withColumn("_share", share(F.col("_t"), position, F.col(size)))
+        carried = [F.when(F.col("_t") == position, F.col(c)).alias(c) for c in extra]
+        spread = spread.select(
+            *[c for c in keys if c != axis], F.col("_t").alias(axis), *carried, *[(F.col("_share") * F.col(c)).alias(c) for c in channels]
+        )
+        return spread.groupBy(*keys).agg(*[F.max(c).alias(c) for c in extra], *[F.sum(c).alias(c) for c in channels])
+
+    if height is None or width is None:
+        rows = _sized(df, sample)
+    else:
+        place = [F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x")]
+        sizes = [height.cast("bigint").alias("_h"), width.cast("bigint").alias("_w")]
+        rows = df.select(*sample, *place, *extra, *channels, *sizes)
+    across = pass_along(rows, "x", "_w", [*sample, "_h", "y", "x"])
+    down = pass_along(across, "y", "_h", [*sample, "y", "x"])
+    return down.select(*sample, "y", "x", *extra, *[F.rint(c).cast("bigint").alias(c) for c in channels])
 
 
 def class_histogram(df: DataFrame, by: list[str], classes: int, label: str = "label") -> DataFrame:
@@ -258,7 +281,7 @@ def dct_hash(df: DataFrame, sample: list[str], value: str, size: int) -> DataFra
     flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda v: F.transform("_t", lambda s: F.get(s["c"], v))))
     coefficients = table.select(*sample, flat.alias("_f"))
     median = F.element_at(F.array_sort(F.slice("_f", 2, 63)), 32)
-    bits = coefficients.withColumn("_m", median).withColumn("_b", F.transform("_f", lambda c: c > F.col("_m")))
+    bits = coefficients.withColumn("_m", median).withColumn("_b", F.zip_with("_f", F.array_repeat("_m", 64), lambda c, m: c > m))
     return bits.select(*sample, _halves("_b", 1).alias("hi"), _halves("_b", 33).alias("lo"))
 
 

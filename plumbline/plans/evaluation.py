@@ -8,33 +8,28 @@ from pyspark.sql import functions as F
 from plumbline.functions.softmax import unit_stats
 from plumbline.operators import calibration as cal
 from plumbline.operators import ranking as rk
-from plumbline.operators import segmentation as seg
 
 
 def evaluate_condition_splits(df: DataFrame, by: list[str], unit: str, classes: int, temperature=1.0) -> DataFrame:
     """Segmentation, calibration, confidence and error-detection metrics.
 
-    Three aggregations of the same unit rows: bins (calibration), cells
-    (confusion) and tie groups (AUROC), plus the ordered curve for the area.
+    One pass fills the mergeable state (bins, class counts); tie groups give the
+    AUROC and the ordered curve the area.
     """
     units = unit_stats(df, classes, temperature, keep=True)
-    narrow = units.select(*by, unit, "label", "pred", "conf", "correct", "nll", "brier")
-    bins = cal.merge_bins(cal.bin_sums(narrow, by), by).withColumn("loss", F.col("nll"))
-    mean = cal.classwise_ece(units, by).groupBy(*by).agg(F.avg("classwise_ece").alias("mean_classwise_ece"))
-    segments = seg.segmentation_metrics(narrow, by, classes)
-    errors = narrow.select(
-        *by, unit, (1.0 - F.col("conf")).cast("float").alias("score"), (1 - F.col("correct")).alias("err")
-    )
+    merged = cal.merge_scopes(cal.merge_slots(cal.slot_sums(units, by, classes), by), by).withColumn("loss", F.col("nll"))
+    score = (1.0 - F.col("conf")).cast("float").alias("score")
+    errors = units.select(*by, unit, score, (1 - F.col("correct")).alias("err"))
     ranked = rk.ranking_metrics(errors, by).select(*by, "error_auroc")
     area = rk.aurc_simple(rk.risk_coverage_curve(errors, by, unit), by).withColumnRenamed("aurc_simple", "aurc")
-    return bins.join(mean, by).join(segments, by).join(ranked, by).join(area, by)
+    return merged.join(ranked, by).join(area, by)
 
 
 def evaluate_condition_classes(df: DataFrame, by: list[str], classes: int, temperature=1.0) -> DataFrame:
     """F26 long form: IoU, Dice, accuracy and class-wise ECE per class."""
     units = unit_stats(df, classes, temperature, keep=True)
-    table = seg.per_class_table(units, by, classes)
-    return table.join(cal.classwise_ece(units, by), [*by, "class_id"])
+    slots = cal.merge_slots(cal.slot_sums(units, by, classes), by).filter(F.col("slot") >= 0)
+    return slots.select(*by, F.col("slot").alias("class_id"), "iou", "dice", "accuracy", F.col("ece").alias("classwise_ece"))
 
 
 def validate_predictions(df: DataFrame, by: list[str], unit: str, provenance: str, classes: int) -> DataFrame:

@@ -179,11 +179,11 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e")
     )
     median = F.element_at(F.array_sort(F.slice("e", 2, DIMS - 1)), DIMS // 2)
-    inner = F.filter(F.sequence(F.lit(0), F.lit(DIMS - 2)), lambda i: i % 8 < 7)
-    steps = F.transform(inner, lambda i: F.get("e", i + 1) > F.get("e", i))
+    rises = F.zip_with(F.slice("e", 1, DIMS - 1), F.slice("e", 2, DIMS - 1), lambda a, b: b > a)
+    steps = F.filter(rises, lambda up, i: i % 8 < 7)
     originals = (
         vectors.withColumn("median", median)
-        .withColumn("bits", F.transform("e", lambda v: v > F.col("median")))
+        .withColumn("bits", F.zip_with("e", F.array_repeat("median", DIMS), lambda v, m: v > m))
         .withColumn("steps", F.concat(F.array_repeat(F.lit(False), 8), steps))
         .select(
             "vec_id",
