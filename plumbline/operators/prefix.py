@@ -66,10 +66,10 @@ def add_prefix(
     probabilities = [i / ranges for i in range(1, ranges)]
     cut_aggs = [
         F.count(F.lit(1)).alias("_rows"),
-        F.array_distinct(F.percentile_approx(value, probabilities, 10_000)).alias("_cuts"),
+        F.array_distinct(F.percentile_approx(value, probabilities, 8 * ranges)).alias("_cuts"),
     ]
     if tie:
-        cut_aggs.append(F.array_distinct(F.percentile_approx("_tie", probabilities, 10_000)).alias("_tie_cuts"))
+        cut_aggs.append(F.array_distinct(F.percentile_approx("_tie", probabilities, 8 * ranges)).alias("_tie_cuts"))
     cuts = base.groupBy(*keys).agg(*cut_aggs).filter(F.col("_rows") > heavy).drop("_rows")
     located = base.join(cuts, keys, "left")
     code = F.coalesce(_range_code(F.col(value), F.col("_cuts")), F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numerics import shuffle_key
 from plumbline.operators.prefix import add_hashed_rank
+from plumbline.session import cut_lineage
 
 NAMES = ("train", "val", "calibration")
 
@@ -34,8 +35,12 @@ def fixed_count_split(df: DataFrame, key: str, counts: dict[str, int] | dict[str
 
 
 def split_groups(groups: DataFrame, group: str, seed: int, train: float = 0.8) -> DataFrame:
-    """Groups to train/val/calibration: floor(train * G), then the rest halved."""
-    first = add_hashed_rank(groups.withColumn("_key", shuffle_key(seed, group)), "_key")
+    """Groups to train/val/calibration: floor(train * G), then the rest halved.
+
+    The group list is read by both ranks, so it is stored once.
+    """
+    groups = cut_lineage(groups.withColumn("_key", shuffle_key(seed, group)))
+    first = add_hashed_rank(groups, "_key")
     first = first.withColumn("_train", F.col("rank") <= F.floor(F.col("size") * F.lit(train)))
     chosen = first.filter("_train").select(group, F.lit("train").alias("split"))
     rest = first.filter(~F.col("_train")).select(group, shuffle_key(seed + 1, group).alias("_key"))
@@ -118,6 +123,7 @@ def candidate_splits(groups: DataFrame, group: str, first_seed: int, seeds: int,
     Each group row is fanned out to the seeds (a fixed number) and ranked per
     seed with the hashed two-level rank, so no seed's groups meet in one task.
     """
+    groups = cut_lineage(groups)
     fanned = groups.withColumn("seed", F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + seeds - 1))))
     first = add_hashed_rank(fanned.withColumn("_key", F.md5(F.concat_ws(":", "seed", group))), "_key", ["seed"], digits=2)
     first = first.withColumn("_train", F.col("rank") <= F.floor(F.col("size") * F.lit(train)))

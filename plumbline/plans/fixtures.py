@@ -49,15 +49,15 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _centroids(embeddings: DataFrame) -> DataFrame:
-    """One row: the class-by-dimension matrix of mean vectors (C x D doubles)."""
-    cells = embeddings.select("label", F.posexplode("embedding").alias("pos", "v"))
-    means = cells.groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    """Class-by-dimension matrix of mean vectors (C x D doubles) per vector length."""
+    cells = embeddings.select(F.size("embedding").alias("dims"), "label", F.posexplode("embedding").alias("pos", "v"))
+    means = cells.groupBy("dims", "label", "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
 
     def ordered(key, value):
         return F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: s[value])
 
-    per_class = means.groupBy("label").agg(ordered("pos", "m").alias("mean"))
-    return per_class.groupBy(F.lit("centroid").alias("model")).agg(ordered("label", "mean").alias("centroids"))
+    per_class = means.groupBy("dims", "label").agg(ordered("pos", "m").alias("mean"))
+    return per_class.groupBy("dims").agg(ordered("label", "mean").alias("centroids"))
 
 
 def predictions(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
@@ -70,8 +70,8 @@ def predictions(spark: SparkSession, sf_dir: str, units: DataFrame | None = None
     units = embeddings if units is None else units
     vector = F.transform("embedding", lambda v: v.cast("double"))
     scored = (
-        units.withColumn("model", F.lit("centroid"))
-        .join(F.broadcast(_centroids(embeddings)), "model")
+        units.withColumn("dims", F.size("embedding"))
+        .join(F.broadcast(_centroids(embeddings)), "dims")
         .withColumn("vector", vector)
     )
 
