@@ -15,11 +15,24 @@ from pyspark.sql import functions as F
 
 RANGES = 256
 HEAVY_ROWS = 500_000
+SALTS = 16
 
 
-def _range_code(value: Column, cuts: Column) -> Column:
-    below = F.size(F.filter(cuts, lambda c: c < value))
-    return 2 * below + F.when(F.array_contains(cuts, value), 1).otherwise(0)
+def _with_range(df: DataFrame, value: str, cuts: str, out: str, ranges: int) -> DataFrame:
+    """``2 * (cuts below value) + (value is a cut)``, zero without cuts.
+
+    The count is found by halving. Each step is a projection of its own, so it
+    compiles to a few array reads per row instead of a scan of all cuts; reading
+    past the end gives null, which never counts as below.
+    """
+    step = 1 << max(ranges - 1, 1).bit_length()
+    df = df.withColumn("_at", F.lit(0))
+    while step > 1:
+        step //= 2
+        probe = F.get(F.col(cuts), F.col("_at") + (step - 1))
+        df = df.withColumn("_at", F.col("_at") + F.when(probe < F.col(value), step).otherwise(0))
+    hot = F.coalesce(F.get(F.col(cuts), F.col("_at")) == F.col(value), F.lit(False))
+    return df.withColumn(out, 2 * F.col("_at") + F.when(hot, 1).otherwise(0)).drop("_at")
 
 
 def _text_position(text: Column, skip: Column) -> Column:
@@ -55,8 +68,7 @@ def add_prefix(
     """Add ``<name>_before`` (exclusive prefix) and ``<name>_total`` per scope.
 
     Order inside a scope is ``value`` ascending, then ``tie``. Scopes of up to
-    ``heavy`` rows stay in one range; only larger ones get cut points, so the
-    cut table holds at most rows/heavy entries.
+    ``heavy`` rows stay in one range; only larger ones get cut points.
     """
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
@@ -64,19 +76,28 @@ def add_prefix(
     if tie:
         base = _numeric_tie(base, keys, tie)
     probabilities = [i / ranges for i in range(1, ranges)]
-    cut_aggs = [
-        F.count(F.lit(1)).alias("_rows"),
-        F.array_distinct(F.percentile_approx(value, probabilities, 8 * ranges)).alias("_cuts"),
-    ]
+    # Totals and cut points come from one aggregation that reads the same columns
+    # as the range totals, so both reuse the shuffle of the input.
+    heavy_scope = F.count(F.lit(1)) > heavy
+
+    def cuts(column: str, name: str) -> Column:
+        points = F.array_distinct(F.percentile_approx(column, probabilities, 8 * ranges))
+        return F.when(heavy_scope, points).alias(name)
+
+    aggs = [F.sum(f"_in_{n}").alias(f"{n}_total") for n in sums] + [cuts(value, "_cuts")]
     if tie:
-        cut_aggs.append(F.array_distinct(F.percentile_approx("_tie", probabilities, 8 * ranges)).alias("_tie_cuts"))
-    cuts = base.groupBy(*keys).agg(*cut_aggs).filter(F.col("_rows") > heavy).drop("_rows")
-    located = base.join(cuts, keys, "left")
-    code = F.coalesce(_range_code(F.col(value), F.col("_cuts")), F.lit(0))
-    located = located.withColumn("_range", code)
+        aggs.append(cuts("_tie", "_tie_cuts"))
+    # A hot scope must not meet its totals in one task: salted on the row side,
+    # repeated a fixed number of times on the side with one row per scope.
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    scopes = base.groupBy(*keys).agg(*aggs).select("*", copies)
+    # never null, or the join would infer a filter with the whole value expression
+    salt = F.coalesce(F.pmod(F.hash(value, *([tie] if tie else [])), F.lit(SALTS)), F.lit(0))
+    located = base.withColumn("_salt", salt).join(scopes, [*keys, "_salt"]).drop("_salt")
+    located = _with_range(located, value, "_cuts", "_range", ranges)
     if tie:
-        split = F.when(F.col("_range") % 2 == 1, _range_code(F.col("_tie"), F.col("_tie_cuts"))).otherwise(0)
-        located = located.withColumn("_sub", F.coalesce(split, F.lit(0))).drop("_tie_cuts")
+        located = _with_range(located, "_tie", "_tie_cuts", "_place", ranges)
+        located = located.withColumn("_sub", F.when(F.col("_range") % 2 == 1, F.col("_place")).otherwise(0)).drop("_tie_cuts", "_place")
     else:
         located = located.withColumn("_sub", F.lit(0))
     located = located.drop("_cuts")
@@ -87,7 +108,6 @@ def add_prefix(
     offsets = totals.select(
         *cell,
         *[F.coalesce(F.sum(f"_sum_{n}").over(running), F.lit(0)).alias(f"_off_{n}") for n in sums],
-        *[F.sum(f"_sum_{n}").over(scope).alias(f"{n}_total") for n in sums],
     )
     order = [F.col(value)] + ([F.col(tie)] if tie else [])
     inside = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
