@@ -12,7 +12,7 @@ table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.text import LAST_ID, ascii_lower, broadcast_if_small, text_key
@@ -30,20 +30,12 @@ def _keys(docs: DataFrame, least_chars: int) -> DataFrame:
 
 
 def _frequent(keys: DataFrame, least_docs: int) -> DataFrame:
-    """Line keys found in enough documents, with the largest document id.
-
-    Keys with too few lines are dropped before documents are told apart.
-    """
+    """Line keys found in enough documents, with the largest document id."""
     per_document = keys.groupBy("_k1", "_k2", "_id").agg(F.lit(1).alias("_one"))
     counted = per_document.groupBy("_k1", "_k2").agg(F.count("*").alias("_docs"), F.max("_id").alias("_keeper"))
     return counted.filter(F.col("_docs") >= least_docs).select("_k1", "_k2", "_keeper")
 
 
-def _without(lines: Column, dropped: Column) -> Column:
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(dropped, i))
-    return F.when(dropped.isNull(), lines).otherwise(kept)
-
-
 def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """Per row: doc_id, text (what is left), n_lines, n_dropped."""
     frequent = cut_lineage(_frequent(_keys(docs, least_chars), least_docs))
@@ -53,7 +45,8 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), *text_key(F.col("text")))
     joined = rows.join(dropped, ["_id", "_h1", "_h2"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    left = F.when(F.col("_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_without(lines, F.col("_dropped")), "\n"))
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
+    left = F.when(F.col("_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
     return joined.select("doc_id", left.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

@@ -1,4 +1,7 @@
-"""Registered queries of the text operators with their DuckDB text."""
+"""Registered queries of the text operators with their DuckDB text.
+
+Each reads its whole tables and runs its operator with production parameters.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +9,65 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import line_dedup, sharding
+from plumbline.llm import decontamination, fingerprints, language_id, license, line_dedup, mixing, secrets, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_segments")
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_rows(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_digests(documents(spark, sf_dir))
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(documents(spark, sf_dir))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 ENTRIES: dict[str, tuple[Query, str | None]] = {
+    "op1_toxicity": (op1_toxicity, None),
+    "op2_fingerprints": (op2_fingerprints, None),
+    "op3_simhash": (op3_simhash, None),
+    "op4_secrets": (op4_secrets, None),
+    "op5_decontamination": (op5_decontamination, decontamination.HITS_SQL),
+    "op6_language_id": (op6_language_id, None),
     "op7_line_dedup": (op7_line_dedup, line_dedup.LINES_SQL),
+    "op8_mixing": (op8_mixing, mixing.mixture_sql()),
+    "op9_license": (op9_license, None),
     "op10_sharding": (op10_sharding, None),
 }

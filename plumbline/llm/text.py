@@ -27,3 +27,12 @@ def text_key(text: Column) -> list[Column]:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a counted narrow table below BROADCAST_ROWS; larger ones join by shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def packed(docs: DataFrame, *keys: Column) -> DataFrame:
+    """Whole rows in one column ``_row`` beside keys, so that no name of theirs clashes; ``unpacked`` undoes it."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *keys)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
