@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.store import stored
 from plumbline.llm.text import LAST_ID, ascii_lower, broadcast_if_small, packed, text_key, unpacked
-from plumbline.session import cut_lineage
 
 #: Everything in ASCII but digits and lower-case letters.
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -63,7 +63,7 @@ def _scan(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, length: int = 13, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """Per document with hits: _id, _h1, _h2, _n (words), n_hit, _items (sorted)."""
-    windows = cut_lineage(test_windows(benchmark, length))
+    windows = stored(test_windows(benchmark, length))
     sizes = windows.groupBy("_length").count().collect()
     lengths, count = sorted(r["_length"] for r in sizes), sum(r["count"] for r in sizes)
     slices = max(1, -(-count // slice_windows))
@@ -98,7 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without the contaminated ones, columns unchanged."""
-    bad = cut_lineage(find_hits(docs, benchmark).filter(is_contaminated(F.col("n_hit"), F.col("_n"))).select("_id", "_h1", "_h2"))
+    bad = stored(find_hits(docs, benchmark).filter(is_contaminated(F.col("n_hit"), F.col("_n"))).select("_id", "_h1", "_h2"))
     keyed = packed(docs, F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), *text_key(F.col("text")))
     return unpacked(keyed.join(broadcast_if_small(bad, bad.count()), ["_id", "_h1", "_h2"], "left_anti"))
 

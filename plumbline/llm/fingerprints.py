@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import LAST_ID, ascii_lower, text_key
+from plumbline.llm.text import LAST_ID, ascii_lower, constant, place, text_key
 
 SHINGLE = 5
 BIN_BITS = 8
@@ -106,15 +106,10 @@ def _ranged(rows: DataFrame, ids: DataFrame) -> DataFrame:
     if ranges > 1:
         cuts = ids.agg(F.percentile_approx("_id", [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))).first()[0]
         starts = sorted({least, *cuts})
-    # a text literal folds into one constant array, whatever its length
-    listed = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
-    rows, step = rows.withColumn("_at", F.lit(0)), 1 << (len(starts) - 1).bit_length()
-    while step > 1:
-        step //= 2
-        rows = rows.withColumn("_at", F.col("_at") + F.when(F.get(listed, F.col("_at") + step) <= F.col("_id"), step).otherwise(0))
+    rows = rows.withColumn("_at", place(F.col("_id"), starts))
     own = F.struct(F.col("_at").alias("_range"), F.lit(0).alias("_extra"))
     before = F.struct(F.pmod(F.col("_at") - 1, F.lit(len(starts))).alias("_range"), F.lit(1).alias("_extra"))
-    both = F.when(F.get(listed, F.col("_at")) == F.col("_id"), F.array(own, before)).otherwise(F.array(own))
+    both = F.when(F.get(constant(starts), F.col("_at")) == F.col("_id"), F.array(own, before)).otherwise(F.array(own))
     return rows.withColumn("_r", F.explode(both)).select("*", "_r.*").drop("_r", "_at")
 
 

@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.store import stored
 from plumbline.llm.text import LAST_ID, ascii_lower, broadcast_if_small, text_key
-from plumbline.session import cut_lineage
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -38,7 +38,7 @@ def _frequent(keys: DataFrame, least_docs: int) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """Per row: doc_id, text (what is left), n_lines, n_dropped."""
-    frequent = cut_lineage(_frequent(_keys(docs, least_chars), least_docs))
+    frequent = stored(_frequent(_keys(docs, least_chars), least_docs))
     small = broadcast_if_small(frequent, frequent.count())
     hits = _keys(docs, least_chars).join(small, ["_k1", "_k2"]).filter(F.col("_id") != F.col("_keeper"))
     dropped = hits.groupBy("_id", "_h1", "_h2").agg(F.array_sort(F.collect_set("_pos")).alias("_dropped"))

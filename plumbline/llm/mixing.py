@@ -23,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.store import stored
 from plumbline.llm.text import broadcast_if_small, packed, unpacked
-from plumbline.session import cut_lineage
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Production targets: a power of the found share, or shares by name.
@@ -83,14 +83,14 @@ def _with_targets(cells: DataFrame, targets: dict) -> DataFrame:
 
 def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
     """Cells with _raked, their mass after fitting; ``cells`` has the dimensions and _mass."""
-    cells = cut_lineage(_with_targets(cells, targets).withColumn("_raked", F.col("_mass").cast("double")))
+    cells = stored(_with_targets(cells, targets).withColumn("_raked", F.col("_mass").cast("double")))
     for _ in range(rounds):
         step, off = cells, F.lit(0.0)
         for name in DIMENSIONS:
             held = F.sum("_raked").over(Window.partitionBy(f"_{name}"))
             step = step.withColumn(f"_f_{name}", F.when(held > 0, F.col(f"_t_{name}") / held).otherwise(0.0)).withColumn("_raked", F.col("_raked") * F.col(f"_f_{name}"))
             off = F.greatest(off, F.abs(F.col(f"_f_{name}") - 1))
-        step = cut_lineage(step)
+        step = stored(step)
         largest = step.agg(F.max(F.when(F.col("_raked") > 0, off))).first()[0]
         cells = step.drop(*[f"_f_{name}" for name in DIMENSIONS])
         if largest is None or largest < TOLERANCE:
@@ -112,10 +112,10 @@ def _scale(cells: DataFrame, budget: float) -> float:
 def sampling_cells(docs: DataFrame, topic: Column | None = None, targets: dict | None = None, budget: float = BUDGET) -> DataFrame:
     """Per cell: _source, _lang, _topic, _weight, _probability."""
     keyed = docs.select(*_categories(topic), _mass(F.col("text")).alias("_mass"))
-    cells = cut_lineage(keyed.groupBy("_source", "_lang", "_topic").agg(F.sum("_mass").alias("_mass")))
+    cells = stored(keyed.groupBy("_source", "_lang", "_topic").agg(F.sum("_mass").alias("_mass")))
     raked = rake(cells, targets or TARGETS)
     weight = F.col("_raked") / F.col("_mass")
-    return cut_lineage(raked.select("_source", "_lang", "_topic", weight.alias("_weight"), F.least(F.lit(1.0), F.lit(_scale(raked, budget)) * weight).alias("_probability")))
+    return stored(raked.select("_source", "_lang", "_topic", weight.alias("_weight"), F.least(F.lit(1.0), F.lit(_scale(raked, budget)) * weight).alias("_probability")))
 
 
 def mixture(docs: DataFrame, topic: Column | None = None, targets: dict | None = None, budget: float = BUDGET) -> DataFrame:

@@ -4,8 +4,9 @@ Equal texts form one atomic group. Groups are ordered by their smallest doc_id
 and cut into contiguous shards so that the largest shard is as small as any
 contiguous cut allows. The capacity is found by binary search with a greedy
 check. The search reads a summary of the ordered groups (totals of id ranges),
-which is refined by further aggregations only where a cut may fall, until every
-cut candidate is a single group; the driver never holds more than ``BLOCKS`` rows.
+which is refined by further aggregations only where a cut may fall, the largest
+ranges first, until every cut candidate is a single group. A round returns at
+most ``BLOCKS`` rows to the driver.
 
 Defined cases: a null text counts as empty; rows that share a doc_id stay
 together; null ids come last; an empty table gives no rows; shards may stay
@@ -17,11 +18,11 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import LAST_ID, text_key
-from plumbline.session import cut_lineage
+from plumbline.llm.store import stored
+from plumbline.llm.text import LAST_ID, constant, place, text_key
 
 #: Ranges in one summary: the most rows that a round returns to the driver.
 BLOCKS = 32_768
@@ -29,13 +30,14 @@ OVERHEAD = 16
 
 
 class Ordered:
-    """Prefix sums of consecutive id ranges, each ``(last_id, bytes, groups)``."""
+    """Prefix sums of consecutive id ranges (rows with last, bytes, groups, most)."""
 
-    def __init__(self, blocks: list[tuple[int, int, int]]):
-        self.last = [b[0] for b in blocks]
-        self.single = [b[2] == 1 for b in blocks]
-        self.ends = [0, *accumulate(b[1] for b in blocks)]
+    def __init__(self, blocks: list):
+        self.last = [b["last"] for b in blocks]
+        self.single = [b["groups"] == 1 for b in blocks]
+        self.ends = [0, *accumulate(b["bytes"] for b in blocks)]
         self.total = self.ends[-1]
+        self.most = max(b["most"] for b in blocks)
 
     def below(self, x: int) -> int:
         """Largest known boundary at or below x."""
@@ -55,28 +57,23 @@ class Ordered:
         return at >= self.total
 
     def least_capacity(self, shards: int, step) -> int:
-        low, high = -(-self.total // shards), self.total
+        low, high = max(self.most, -(-self.total // shards)), self.total
         while low < high:
             middle = (low + high) // 2
             low, high = (low, middle) if self.fits(middle, shards, step) else (middle + 1, high)
         return low
 
-    def open_ranges(self, shards: int) -> list[tuple[int, int]]:
-        """Index ranges of blocks in which a cut may fall and that hold several groups."""
+    def open_blocks(self, shards: int) -> list[int]:
+        """Blocks of several groups in which a cut of the least capacity may fall."""
         low, high = self.least_capacity(shards, self.reach), self.least_capacity(shards, self.below)
         at_least = at_most = 0
-        spans: list[list[int]] = []
+        found: set[int] = set()
         for _ in range(shards):
             first = bisect_right(self.ends, min(at_least + low, self.total)) - 1
             last = bisect_right(self.ends, min(at_most + high, self.total)) - 1
-            inside = [i for i in range(first, min(last, len(self.single) - 1) + 1) if not self.single[i]]
-            if inside:
-                if spans and inside[0] <= spans[-1][1] + 1:
-                    spans[-1][1] = max(spans[-1][1], inside[-1])
-                else:
-                    spans.append([inside[0], inside[-1]])
+            found.update(i for i in range(first, min(last + 1, len(self.single))) if not self.single[i])
             at_least, at_most = self.below(at_least + low), self.reach(at_most + high)
-        return [(a, b) for a, b in spans]
+        return sorted(found)
 
     def cuts(self, shards: int) -> list[int]:
         """Last id of every shard but the final one.
@@ -97,34 +94,31 @@ class Ordered:
         return ids
 
 
-def _totals(groups: DataFrame, block: Column, where: Column | None = None) -> list:
-    chosen = groups if where is None else groups.filter(where)
-    made = chosen.groupBy(block.alias("block")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("groups"), F.min("rep").alias("first"), F.max("rep").alias("last"))
-    return sorted(made.collect(), key=lambda r: r["first"])
+def _totals(groups: DataFrame) -> list:
+    """Totals by _block, in order."""
+    made = groups.groupBy("_block").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("groups"), F.max("bytes").alias("most"), F.min("rep").alias("first"), F.max("rep").alias("last"))
+    return sorted((r for r in made.collect() if r["_block"] is not None), key=lambda r: r["first"])
 
 
 def _split(groups: DataFrame, shards: int, blocks: int) -> list[int]:
     """Ids after which the ordered groups are cut."""
-    ends = groups.agg(F.min("rep"), F.max(F.when(F.col("rep") != LAST_ID, F.col("rep")))).first()
-    first, last = ends[0], ends[1] if ends[1] is not None else ends[0]
-    width = (last - first) // blocks + 1
-    # ids that are missing share the last block's key, which no id range reaches
-    key = F.when(F.col("rep") == LAST_ID, F.lit(blocks + 1)).otherwise(F.expr(f"(rep - ({first}L)) div {width}L"))
-    found = _totals(groups, key)
-    while True:
-        spans = Ordered([(r["last"], r["bytes"], r["groups"]) for r in found]).open_ranges(shards)
-        if not spans:
-            return Ordered([(r["last"], r["bytes"], r["groups"]) for r in found]).cuts(shards)
-        each = max(2, blocks // len(spans))
-        key, where = F.lit(None).cast("long"), F.lit(False)
-        for n, (a, b) in enumerate(spans):
-            low, high = found[a]["first"], found[b]["last"]
-            inside = F.col("rep").between(low, high)
-            key = F.when(inside, F.expr(f"(rep - ({low}L)) div {(high - low) // each + 1}L") + F.lit(n * (each + 1))).otherwise(key)
-            where = where | inside
-        inner = _totals(groups, key, where)
-        outer = [r for i, r in enumerate(found) if not any(a <= i <= b for a, b in spans)]
-        found = sorted([*outer, *inner], key=lambda r: r["first"])
+    first, last = groups.agg(F.min("rep"), F.max(F.when(F.col("rep") != LAST_ID, F.col("rep")))).first()
+    width = ((last if last is not None else first) - first) // blocks + 1
+    # missing ids are a block of their own, which no id range reaches
+    block = F.when(F.col("rep") == LAST_ID, F.lit(blocks + 1)).otherwise(F.expr(f"(rep - ({first}L)) div {width}L"))
+    found = _totals(groups.withColumn("_block", block))
+    while open_blocks := Ordered(found).open_blocks(shards):
+        chosen = sorted(sorted(open_blocks, key=lambda i: -found[i]["bytes"])[: max(1, blocks // 4)])
+        each = blocks // len(chosen)
+        starts, ends = [found[i]["first"] for i in chosen], [found[i]["last"] for i in chosen]
+        widths = [(b - a) // each + 1 for a, b in zip(starts, ends)]
+        at, rep = F.col("_at"), F.col("rep")
+        piece = at * (each + 1) + F.floor((rep - F.get(constant(starts), at)) / F.get(constant(widths), at))
+        inside = rep.between(F.get(constant(starts), at), F.get(constant(ends), at))
+        placed = groups.withColumn("_at", place(rep, starts)).withColumn("_block", F.when(inside, piece))
+        gone = set(chosen)
+        found = sorted([*(r for i, r in enumerate(found) if i not in gone), *_totals(placed)], key=lambda r: r["first"])
+    return Ordered(found).cuts(shards)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, blocks: int = BLOCKS) -> DataFrame:
@@ -134,15 +128,16 @@ def shard_documents(docs: DataFrame, shards: int = 40, blocks: int = BLOCKS) ->
     ``slot`` counts from 0 without gaps inside a shard.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = cut_lineage(docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *text_key(F.col("text")))).withColumn("_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    texts = cut_lineage(rows.groupBy("_h1", "_h2").agg(F.min("_id").alias("rep"), F.sum("size").alias("bytes"), F.count("*").alias("copies")))
-    groups = texts.groupBy("rep").agg(F.sum("bytes").alias("bytes"))
+    rows = stored(docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *text_key(F.col("text"))))
+    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(LAST_ID)))
+    texts = stored(rows.groupBy("_h1", "_h2").agg(F.min("_id").alias("rep"), F.sum("size").alias("bytes"), F.count("*").alias("copies")))
     count = texts.agg(F.sum("copies")).first()[0]
     if not count:
         return _numbered(rows.withColumn("shard", F.lit(0)), 1, shards)
-    cuts = _split(cut_lineage(groups), shards, blocks)
-    shard = sum((F.col("rep") > cut).cast("int") for cut in cuts) if cuts else F.lit(0)
-    return _numbered(rows.join(texts.select("_h1", "_h2", "rep"), ["_h1", "_h2"]).withColumn("shard", shard), count, shards)
+    cuts = _split(stored(texts.groupBy("rep").agg(F.sum("bytes").alias("bytes"))), shards, blocks)
+    shard = sum(((F.col("rep") > cut).cast("int") for cut in cuts), F.lit(0))
+    placed = rows.join(texts.select("_h1", "_h2", "rep"), ["_h1", "_h2"]).withColumn("shard", shard)
+    return _numbered(stored(placed), count, shards)
 
 
 def _numbered(rows: DataFrame, count: int, shards: int) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import smallest_reachable
+from plumbline.llm.store import stored
 from plumbline.llm.text import LAST_ID, packed, unpacked
-from plumbline.session import cut_lineage
 
 SEED = 42
 DISTANCE = 3
@@ -78,8 +78,8 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 def _numbered(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with fingerprints, and one node per distinct fingerprint, both stored."""
-    rows = cut_lineage(prints)
-    nodes = cut_lineage(rows.groupBy("print").agg(F.min("_id").alias("node")))
+    rows = stored(prints)
+    nodes = stored(rows.groupBy("print").agg(F.min("_id").alias("node")))
     return rows, nodes
 
 
@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows, nodes = _numbered(docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), fingerprints(F.col("text")).alias("print")))
     # a repeated id may stand for several fingerprints: they share a node and so a component
     labels = smallest_reachable(nodes, near_links(nodes))
-    named = cut_lineage(nodes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component")))
+    named = stored(nodes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component")))
     return rows.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"), "_id", "component")
 
 
@@ -101,4 +101,4 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; columns unchanged."""
     keep = near_duplicates(docs).filter(F.col("_id") == F.col("component")).select("_id").distinct()
     keyed = packed(docs, F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"))
-    return unpacked(keyed.join(cut_lineage(keep), "_id", "left_semi").dropDuplicates(["_id"]))
+    return unpacked(keyed.join(stored(keep), "_id", "left_semi").dropDuplicates(["_id"]))

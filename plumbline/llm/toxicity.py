@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.llm.store import stored
 
 #: Documented bounds of the fit: labelled rows of each class, in expectation, and token and prefix counts kept.
 PER_CLASS = 15_000
@@ -180,10 +180,10 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFra
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes.get(1, 1))).otherwise(min(1.0, per_class / sizes.get(0, 1)))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    sample = texts.join(F.broadcast(cut_lineage(chosen)), "doc_id").select("doc_id", "toxic", "text")
+    sample = texts.join(F.broadcast(stored(chosen)), "doc_id").select("doc_id", "toxic", "text")
     picked = sample.mapInPandas(_sketches, "doc_id long, toxic int, sketch long").groupBy("toxic", "sketch").agg(F.min("doc_id").alias("doc_id"))
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return texts.join(F.broadcast(cut_lineage(picked.select("doc_id", "toxic").distinct())), "doc_id").select("doc_id", "toxic", "text"), rate
+    return texts.join(F.broadcast(stored(picked.select("doc_id", "toxic").distinct())), "doc_id").select("doc_id", "toxic", "text"), rate
 
 
 def _judging() -> Column:
@@ -243,7 +243,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 
     judged = sample.filter(_judging()).select("toxic", "text")
     clean = judged.filter("toxic = 0").mapInPandas(clean_statistics, "toxic int, tokens long, most double, values array<double>, counts array<long>")
-    clean = cut_lineage(clean)
+    clean = stored(clean)
     spread = clean.select(F.explode(F.arrays_zip("values", "counts")).alias("v")).groupBy("v.values").agg(F.sum("v.counts").alias("n")).collect()
     model.scale = _root(np.array([r[0] for r in spread]), np.array([float(r[1]) for r in spread]))
     row = clean.agg(F.count("*"), F.sum(F.col("tokens") * F.exp(-model.scale * F.col("most")))).first()
