@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.store import stored
-from plumbline.llm.text import LAST_ID, ascii_lower, broadcast_if_small, packed, text_key, unpacked
+from plumbline.llm.text import LAST_ID, ascii_lower, broadcast_if_small, let, packed, text_key, unpacked
 
 #: Everything in ASCII but digits and lower-case letters.
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -29,36 +29,40 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK, -1), "")
 
 
-def _window(column: str, start: Column, length: Column | int) -> Column:
-    return F.slice(F.col(column), start + 1, length)
+def _hashes(text: Column, lengths: list[int]) -> Column:
+    """Hash of every window of each length, one length after the other."""
 
+    def of(found: Column, length: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(found) - (length - 1))
+        return F.when(F.size(found) >= length, F.transform(starts, lambda i: F.xxhash64(F.slice(found, i, length)))).otherwise(F.array().cast("array<bigint>"))
 
-def _hashes(column: str, size: Column, length: int) -> Column:
-    """Hash of every window of one length, in order."""
-    starts = F.sequence(F.lit(0), size - length)
-    return F.when(size >= length, F.transform(starts, lambda i: F.xxhash64(_window(column, i, length)))).otherwise(F.array().cast("array<bigint>"))
+    return let(words(text), lambda found: F.concat(*[of(found, n) for n in lengths]))
 
 
 def test_windows(benchmark: DataFrame, length: int = 13) -> DataFrame:
     """Distinct windows: _gram (hash), _window (words), _length, _items."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("_item"), words(F.col("text")).alias("_words")).withColumn("_length", F.least(F.size("_words"), F.lit(length))).filter(F.col("_length") > 0)
-    starts = F.sequence(F.lit(0), F.size("_words") - F.col("_length"))
-    windows = items.select("_item", "_length", F.explode(F.transform(starts, lambda i: _window("_words", i, F.col("_length")))).alias("_window"))
+
+    def of(found: Column) -> Column:
+        size = F.least(F.size(found), F.lit(length))
+        return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.size(found) - size + 1), lambda i: F.slice(found, i, size)))
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("_item"), F.explode(let(words(F.col("text")), of)).alias("_window"))
+    windows = items.withColumn("_length", F.size("_window"))
     return windows.groupBy("_length", "_window").agg(F.collect_set("_item").alias("_items")).withColumn("_gram", F.xxhash64("_window"))
 
 
 def _scan(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """Verified hits of one slice of windows, one row per document position."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), *text_key(F.col("text")), words(F.col("text")).alias("_words")).withColumn("_n", F.size("_words"))
-    hashed = texts.withColumn("_grams", F.concat(*[_hashes("_words", F.col("_n"), n) for n in lengths]))
-    grams = hashed.select("_id", "_h1", "_h2", "_n", "_words", F.posexplode("_grams").alias("_at", "_gram"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), *text_key(F.col("text")), words(F.col("text")).alias("_words"), _hashes(F.col("text"), lengths).alias("_grams")).withColumn("_n", F.size("_words"))
+    # the outer form keeps the optimizer from computing the hashes once more to drop texts without any
+    grams = texts.select("_id", "_h1", "_h2", "_n", "_words", F.posexplode_outer("_grams").alias("_at", "_gram"))
     start, length, offset = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
     for n in lengths:
         inside = F.col("_at") >= offset
         start, length = F.when(inside, F.col("_at") - offset).otherwise(start), F.when(inside, F.lit(n)).otherwise(length)
         offset = offset + F.greatest(F.col("_n") - n + 1, F.lit(0))
     hits = grams.join(F.broadcast(windows.drop("_length")), "_gram").withColumns({"_start": start, "_span": length})
-    return hits.filter(F.col("_window") == _window("_words", F.col("_start"), F.col("_span"))).select("_id", "_h1", "_h2", "_n", "_start", (F.col("_start") + F.col("_span")).alias("_end"), "_items")
+    return hits.filter(F.col("_window") == F.slice("_words", F.col("_start") + 1, F.col("_span"))).select("_id", "_h1", "_h2", "_n", "_start", (F.col("_start") + F.col("_span")).alias("_end"), "_items")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, length: int = 13, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
@@ -105,10 +109,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 HITS_SQL = r"""
 WITH doc AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
   FROM documents
 ), item AS (
-  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT item_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
   FROM benchmark
 ), sized AS (
   SELECT item_id, w, least(len(w), 13) AS n FROM item WHERE len(w) > 0

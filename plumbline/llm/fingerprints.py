@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import LAST_ID, ascii_lower, constant, place, text_key
+from plumbline.llm.text import LAST_ID, ascii_lower, constant, let, place, text_key
 
 SHINGLE = 5
 BIN_BITS = 8
@@ -41,38 +41,56 @@ RANGE_ROWS = 200
 MOST_RANGES = 65_536
 
 
-def _with_shingles(rows: DataFrame, text: str) -> DataFrame:
-    words = F.array_remove(F.split(ascii_lower(F.col(text)), BLANKS, -1), "")
-    rows = rows.withColumn("_words", words)
-    n = F.size("_words")
-    hashes = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(F.col("_words"), i, SHINGLE)))
-    whole = F.when(n > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn("_shingles", F.when(n >= SHINGLE, hashes).otherwise(whole)).drop("_words")
+def _shingles(text: Column) -> Column:
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        hashes = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+        whole = F.when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= SHINGLE, hashes).otherwise(whole)
+
+    return let(F.array_remove(F.split(ascii_lower(text), BLANKS, -1), ""), of)
 
 
 def _bin(value: Column) -> Column:
     return F.shiftright(value, 64 - BIN_BITS) + (BINS // 2)
 
 
-def with_sketch(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the packed fingerprint as an array of longs, empty without words."""
+def _bins(shingles: Column) -> Column:
+    """Least hash of every bin, null for an empty one."""
     most = (1 << (64 - BIN_BITS)) - 1
     # the largest value of each bin, last in order, marks a bin without hashes
-    ends = F.transform(F.sequence(F.lit(-(BINS // 2)), F.lit(BINS // 2 - 1)), lambda b: F.shiftleft(b.cast("long"), 64 - BIN_BITS).bitwiseOR(F.lit(most)))
-    rows = _with_shingles(rows, text).withColumn("_sorted", F.sort_array(F.concat("_shingles", ends)))
-    first = lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col("_sorted"), i - 1)))
-    filled = F.transform(F.filter("_sorted", first), lambda x: F.when(x.bitwiseAND(F.lit(most)) != most, x))
-    rows = rows.withColumn("_bins", filled).withColumn("_used", F.filter("_bins", lambda x: x.isNotNull()))
+    ends = F.split(F.lit(",".join(str((b << (64 - BIN_BITS)) | most) for b in range(-(BINS // 2), BINS // 2))), ",").cast("array<bigint>")
+
+    def of(ordered: Column) -> Column:
+        first = F.filter(ordered, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(ordered, i - 1))))
+        return F.transform(first, lambda x: F.when(x.bitwiseAND(F.lit(most)) != most, x))
+
+    return let(F.sort_array(F.concat(shingles, ends)), of)
+
+
+def _dense(bins: Column) -> Column:
+    """Codes of all bins, the empty ones borrowed; null if all are empty."""
+
+    def of(found: Column, used: Column) -> Column:
+        def borrowed(b: Column) -> Column:
+            probes = [F.get(found, ((b * a + c) % PRIME % BINS).cast("int")) for a, c in PROBES]
+            ordered = F.array_min(F.transform(used, lambda x: F.struct(F.xxhash64(b, _bin(x)).alias("rank"), x.alias("value"))))
+            return F.coalesce(*probes, ordered["value"])
+
+        codes = F.transform(found, lambda x, b: F.coalesce(x, borrowed(b)).bitwiseAND(F.lit((1 << CODE_BITS) - 1)))
+        return F.when(F.size(used) > 0, codes)
+
+    return let(bins, lambda found: let(F.filter(found, lambda x: x.isNotNull()), lambda used: of(found, used)))
+
+
+def sketch(text: Column) -> Column:
+    """The packed fingerprint as an array of longs, empty without words."""
 
-    def borrowed(b: Column) -> Column:
-        probes = [F.get(F.col("_bins"), ((b * a + c) % PRIME % BINS).cast("int")) for a, c in PROBES]
-        ordered = F.array_min(F.transform("_used", lambda x: F.struct(F.xxhash64(b, _bin(x)).alias("rank"), x.alias("value"))))
-        return F.coalesce(*probes, ordered["value"])
+    def pack(codes: Column) -> Column:
+        lane = lambda k: F.aggregate(F.slice(codes, k * LANES + 1, LANES), F.lit(0).cast("long"), lambda at, x: F.shiftleft(at, CODE_BITS).bitwiseOR(x))
+        return F.when(codes.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(BINS // LANES - 1)), lane)).otherwise(F.array().cast("array<bigint>"))
 
-    rows = rows.withColumn("_dense", F.transform("_bins", lambda x, b: F.coalesce(x, borrowed(b)).bitwiseAND(F.lit((1 << CODE_BITS) - 1))))
-    lane = lambda k: F.aggregate(F.slice("_dense", k * LANES + 1, LANES), F.lit(0).cast("long"), lambda at, x: F.shiftleft(at, CODE_BITS).bitwiseOR(x))
-    packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // LANES - 1)), lane)
-    return rows.withColumn(out, F.when(F.size("_used") > 0, packed).otherwise(F.array().cast("array<bigint>"))).drop("_shingles", "_sorted", "_bins", "_used", "_dense")
+    return let(_dense(_bins(_shingles(text))), pack)
 
 
 def as_hex(sketch: Column) -> Column:
@@ -110,7 +128,7 @@ def _ranged(rows: DataFrame, ids: DataFrame) -> DataFrame:
     own = F.struct(F.col("_at").alias("_range"), F.lit(0).alias("_extra"))
     before = F.struct(F.pmod(F.col("_at") - 1, F.lit(len(starts))).alias("_range"), F.lit(1).alias("_extra"))
     both = F.when(F.get(constant(starts), F.col("_at")) == F.col("_id"), F.array(own, before)).otherwise(F.array(own))
-    return rows.withColumn("_r", F.explode(both)).select("*", "_r.*").drop("_r", "_at")
+    return rows.withColumn("_r", F.explode_outer(both)).select("*", "_r.*").drop("_r", "_at")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -123,14 +141,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     if ids.isEmpty():
         ids = docs.sparkSession.range(1).select(F.lit(LAST_ID).alias("_id"))
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), *text_key(F.col("text")))
-    rows = _ranged(with_sketch(rows, "_text", "_sketch"), ids)
+    rows = _ranged(rows.withColumn("_sketch", sketch(F.col("_text"))), ids)
     order = Window.partitionBy("_range").orderBy("_extra", "_id", "_h1", "_h2")
     paired = rows.select("doc_id", "_text", "_sketch", "_extra", F.lead("_text").over(order).alias("_next"), F.lead("_sketch").over(order).alias("_next_sketch")).filter(F.col("_extra") == 0)
     paired = paired.withColumn("n_chars", F.char_length("_text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr(F.col("_text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.substr(F.col("_next"), F.lit(1), quarter))
     paired = paired.select("doc_id", "n_chars", "_sketch", "_next_sketch", edited.alias("_edited"))
-    done = with_sketch(paired, "_edited", "_edited_sketch")
+    done = paired.withColumn("_edited_sketch", sketch(F.col("_edited")))
     return done.select(
         "doc_id",
         "n_chars",

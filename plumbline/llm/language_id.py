@@ -35,7 +35,7 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 6
 BATCH = 32
-RATE = 0.5
+RATE = 0.3
 #: No text at or above this calibrated confidence is rejected.
 MOST_REJECTED_AT = 0.5
 PASSAGES = (40, 160)
@@ -117,7 +117,7 @@ def _train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
     rng = np.random.default_rng(7)
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = rng.normal(0, 0.1, (DIMENSIONS, classes)).astype(np.float32)
-    steps, total = 0, EPOCHS * -(-len(bags) // BATCH)
+    moved, turned = np.full(BUCKETS, 1e-6, dtype=np.float32), np.full_like(weights, 1e-6)
     for _ in range(EPOCHS):
         order = rng.permutation(len(bags))
         for start in range(0, len(bags), BATCH):
@@ -128,12 +128,13 @@ def _train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
             mean = np.add.reduceat(embedding[ids] * shares[:, None], starts, axis=0)
             error = _softmax(mean @ weights)
             error[np.arange(len(chosen)), labels[chosen]] -= 1
-            rate = RATE * (1 - steps / total)
-            back = error @ weights.T
-            weights -= rate * mean.T @ error
-            # buckets are rare, so an embedding moves by its share and is not averaged over the batch
-            np.subtract.at(embedding, ids, (rate * 8) * shares[:, None] * back[row])
-            steps += 1
+            back = shares[:, None] * (error @ weights.T)[row]
+            # steps shrink with the squared gradients so far (of a bucket, of a weight)
+            gradient = mean.T @ error
+            turned += gradient**2
+            np.add.at(moved, ids, (back**2).mean(axis=1))
+            weights -= RATE * gradient / np.sqrt(turned)
+            np.subtract.at(embedding, ids, RATE * back / np.sqrt(moved[ids])[:, None])
     return embedding @ weights
 
 

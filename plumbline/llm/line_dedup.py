@@ -24,7 +24,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 def _keys(docs: DataFrame, least_chars: int) -> DataFrame:
     """One row per long line: document, text key, position and line key."""
-    lines = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), *text_key(F.col("text")), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("_pos", "_line"))
+    lines = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), *text_key(F.col("text")), F.posexplode_outer(F.split(F.col("text"), "\n", -1)).alias("_pos", "_line"))
     long = lines.filter(F.char_length("_line") >= least_chars).withColumn("_key", ascii_lower(F.btrim(F.col("_line"), F.lit(BLANKS))))
     return long.filter(F.char_length("_key") >= least_chars).select("_id", "_h1", "_h2", "_pos", F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit(1), "_key").alias("_k2"))
 

@@ -49,9 +49,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def fingerprints(texts: Column) -> Column:
+    @F.pandas_udf("long")
+    def of(batch: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t) for t in batch], dtype="int64")
+
+    return of(texts)
 
 
 def _turned(value: Column, segment: int) -> Column:

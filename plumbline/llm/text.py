@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +50,12 @@ def place(column: Column, starts: list[int]) -> Column:
     listed, top = constant(starts), (len(starts) - 1).bit_length()
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(top))]).cast("array<int>")
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(listed, at + step) <= column, step).otherwise(0))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    The optimizer may copy a projected column into the lambda that reads it and so
+    compute it for every element; a lambda's own variable is never copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
