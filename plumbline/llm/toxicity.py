@@ -41,15 +41,15 @@ from pyspark.sql import functions as F
 from plumbline.llm.store import stored
 
 #: Documented bounds of the fit: labelled rows of each class, in expectation, and token and prefix counts kept.
-PER_CLASS = 15_000
+PER_CLASS = 8_000
 MOST_NODES = 200_000
 #: Documents that a token or prefix must occur in.
 LEAST_SEEN = 2
 PREFIXES = (3, 4, 5, 6)
 #: Weight of the prior, in documents.
 PRIOR = 2.0
-#: Standard errors that a log-odds must differ from the base rate by.
-SIGNIFICANT = 2.5
+#: Standard errors that a share must differ from the base rate by.
+SIGNIFICANT = 4.0
 LOSS = -0.25
 MOST_SCORE = 8.0
 MOST_EVIDENCE = 200.0
@@ -58,8 +58,22 @@ TOKEN = re.compile(r"\w+")
 
 
 def nodes_of(token: str) -> list[str]:
-    """The token and its prefixes, longest first; prefixes end in a star."""
-    return [token, *(token[:n] + "*" for n in reversed(PREFIXES) if len(token) > n)]
+    """The token and its prefixes; prefixes end in a star."""
+    return [token, *(token[:n] + "*" for n in PREFIXES if len(token) >= n)]
+
+
+class Prefixes(dict):
+    """Score of a prefix that no known token completes, computed when first asked for."""
+
+    def __init__(self, model: ToxicityModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, prefix: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[prefix] = self.model.score_from(*self.model.prefix_mean(prefix))
+        return found
 
 
 @dataclass
@@ -70,32 +84,36 @@ class ToxicityModel:
     scale: float = 1.0  # lambda
     search: float = 1.0  # K
     link: tuple[float, float] = (0.0, -20.0)
-    known: dict[str, float] = field(default_factory=dict)
-
-    def score_of(self, token: str) -> float:
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[token] = self._log_odds(token)
-        return found
-
-    def _log_odds(self, token: str) -> float:
-        toxic, clean = self.documents
-        base = toxic / (toxic + clean)
-        mean, seen = base, 0
-        for node in reversed(nodes_of(token)):
-            t, c = self.counts.get(node, (0, 0))
-            if t + c:
-                mean, seen = (t + PRIOR * mean) / (t + c + PRIOR), t + c
+    known: dict[str, float] = field(default_factory=dict)  # scores of the counted tokens
+
+    def __post_init__(self):
+        for node, (toxic, clean) in self.counts.items():
+            if not node.endswith("*"):
+                mean, _ = self.prefix_mean(node[: PREFIXES[-1]])
+                self.known[node] = self.score_from((toxic + PRIOR * mean) / (toxic + clean + PRIOR), toxic + clean)
+        self.prefixes = Prefixes(self)
+
+    def prefix_mean(self, prefix: str) -> tuple[float, int]:
+        """Probability of a prefix, each length with the shorter one as its prior, and the documents seen."""
+        mean, seen = self.documents[0] / sum(self.documents), 0
+        for n in PREFIXES:
+            toxic, clean = self.counts.get(prefix[:n] + "*", (0, 0)) if len(prefix) >= n else (0, 0)
+            if toxic + clean:
+                mean, seen = (toxic + PRIOR * mean) / (toxic + clean + PRIOR), toxic + clean
+        return mean, seen
+
+    def score_from(self, mean: float, seen: int) -> float:
         if not seen:
             return LOSS
+        base = self.documents[0] / sum(self.documents)
         change = math.log(mean / (1 - mean)) - math.log(base / (1 - base))
-        error = 1 / math.sqrt((seen + PRIOR) * mean * (1 - mean))
-        return max(LOSS * 4, min(MOST_SCORE, change)) if abs(change) > SIGNIFICANT * error else LOSS
+        # a score test: the spread is that of the base rate, as the estimate's own vanishes near 0 and 1
+        apart = abs(mean - base) * math.sqrt(seen) > SIGNIFICANT * math.sqrt(base * (1 - base))
+        return max(LOSS * 4, min(MOST_SCORE, change)) if apart else LOSS
 
     def scores(self, text: str | None) -> np.ndarray:
-        return np.array([self.score_of(t) for t in TOKEN.findall((text or "").lower())])
+        get, rest, size = self.known.get, self.prefixes, PREFIXES[-1]
+        return np.array([rest[t[:size]] if (s := get(t)) is None else s for t in TOKEN.findall((text or "").lower())], dtype=float)
 
     def evidence(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Negative log p-value of the whole text, and its segments by token."""
@@ -114,9 +132,9 @@ class ToxicityModel:
             best = max(best, tail)
         return min(best, MOST_EVIDENCE), found
 
-    def score(self, text: str | None) -> float:
+    def probability(self, evidence: float) -> float:
         slope, shift = self.link
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log1p(self.evidence(text)[0]) + shift))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log1p(evidence) + shift))))
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -271,9 +289,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            segments = shared.value.evidence(text)[1]
+            evidence, segments = shared.value.evidence(text)
             places = [m.span() for m in TOKEN.finditer(text.lower())] if segments else []
-            rows.append((shared.value.score(text) if segments else 1 / (1 + math.exp(-shared.value.link[1])), [(places[a][0], places[b - 1][1], s) for a, b, s in segments]))
+            rows.append((shared.value.probability(evidence), [(places[a][0], places[b - 1][1], s) for a, b, s in segments]))
         return pd.DataFrame({"score": [r[0] for r in rows], "spans": [[{"start": a, "end": b, "score": s} for a, b, s in r[1]] for r in rows]})
 
     scanned = docs.select("doc_id", held_out().alias("held_out"), scan("text").alias("_s"))
