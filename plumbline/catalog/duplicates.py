@@ -139,19 +139,27 @@ DIST = "bit_count(xor(a.hi,b.hi)) + bit_count(xor(a.lo,b.lo))"
 DDIST = "bit_count(xor(a.dhi,b.dhi)) + bit_count(xor(a.dlo,b.dlo))"
 # representatives of equal hashes with their sizes; stars inside a group
 REPS = "reps AS (SELECT hi, lo, min(sample_id) sample_id, count(*) n FROM h5 GROUP BY hi, lo)"
-DREPS = "dreps AS (SELECT dhi, dlo, min(sample_id) sample_id, count(*) n FROM h5 GROUP BY dhi, dlo)"
 PAIRS = f"""pairs AS (SELECT a.sample_id id_a, b.sample_id id_b, CAST({DIST} AS BIGINT) AS distance, a.n*b.n AS pairs FROM reps a JOIN reps b ON a.sample_id < b.sample_id AND {DIST} <= {{d}}
   UNION ALL SELECT r.sample_id, m.sample_id, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM reps r JOIN h5 m ON m.hi=r.hi AND m.lo=r.lo AND m.sample_id > r.sample_id)"""
-DPAIRS = f"""dpairs AS (SELECT a.sample_id id_a, b.sample_id id_b FROM dreps a JOIN dreps b ON a.sample_id < b.sample_id AND {DDIST} <= 4
-  UNION ALL SELECT r.sample_id, m.sample_id FROM dreps r JOIN h5 m ON m.dhi=r.dhi AND m.dlo=r.dlo AND m.sample_id > r.sample_id)"""
+
+
+def near_units(name, hi, lo, distance):
+    """Every pair of units by a nested loop, then one pair for two sets of equal hash and partition."""
+    return [
+        f"{name}_u AS (SELECT *, min(sample_id) OVER (PARTITION BY {hi}, {lo}, part) AS first_id, {hi}||':'||{lo}||':'||part AS node FROM h5)",
+        f"{name}_p AS (SELECT a.sample_id id_a, b.sample_id id_b, least(a.node, b.node) k1, greatest(a.node, b.node) k2, b.sha sha_b, a.first_id FROM {name}_u a JOIN {name}_u b ON a.sample_id < b.sample_id AND a.sha <> b.sha AND {distance} <= 4)",
+        f"{name} AS (SELECT id_a, id_b FROM (SELECT *, row_number() OVER (PARTITION BY k1, k2 ORDER BY id_a, id_b) rn FROM {name}_p WHERE k1 <> k2) WHERE rn = 1 UNION SELECT id_a, min(id_b) FROM {name}_p WHERE k1 = k2 AND id_a = first_id GROUP BY k1, id_a, sha_b)",
+    ]
+
+
 VEC = """vec AS (SELECT 'v'||lpad(CAST(vec_id AS VARCHAR),8,'0') AS sample_id, list(v ORDER BY pos) e FROM (
   SELECT vec_id, pos, v FROM px UNION ALL SELECT vec_id+1000000, pos, CASE WHEN pos=1 THEN 0e0 ELSE v END FROM px WHERE vec_id%10=0) GROUP BY vec_id)"""
 COS = "list_cosine_similarity(a.e, b.e)"
 KNN = f"""nn AS (SELECT unit, neighbour, cosine FROM (SELECT a.sample_id unit, b.sample_id neighbour, {COS} AS cosine,
   row_number() OVER (PARTITION BY a.sample_id ORDER BY {COS} DESC, b.sample_id) rn FROM vec a JOIN vec b ON a.sample_id<>b.sample_id) WHERE rn <= {{k}} AND cosine >= {{c}})"""
 CAND = [
-    *BASE, REPS, DREPS, PAIRS.format(d=4), DPAIRS, VEC, KNN.format(k=6, c="0.995e0"),
-    """u AS (SELECT id_a, id_b, 'perceptual_hash' s, CAST(NULL AS DOUBLE) c FROM pairs UNION ALL SELECT id_a, id_b, 'perceptual_hash', NULL FROM dpairs
+    *BASE, *near_units("pnear", "hi", "lo", DIST), *near_units("dnear", "dhi", "dlo", DDIST), VEC, KNN.format(k=6, c="0.995e0"),
+    """u AS (SELECT id_a, id_b, 'perceptual_hash' s, CAST(NULL AS DOUBLE) c FROM pnear UNION ALL SELECT id_a, id_b, 'perceptual_hash', NULL FROM dnear
   UNION ALL SELECT least(unit, neighbour), greatest(unit, neighbour), 'embedding', cosine FROM nn)""",
     "mg AS (SELECT id_a, id_b, max(c) c, array_to_string(list_sort(list(DISTINCT s)), ';') src FROM u GROUP BY id_a, id_b)",
     f"""cand AS (SELECT CASE WHEN sw THEN yb ELSE ya END AS sample_id_a, CASE WHEN sw THEN pb ELSE pa END AS partition_a, CASE WHEN sw THEN ya ELSE yb END AS sample_id_b, CASE WHEN sw THEN pa ELSE pb END AS partition_b,

@@ -42,8 +42,8 @@ def q_nearest_resize(spark, sf):
 
 def q_bilinear(spark, sf):
     cells = fx.grid_logits(fx.grid(spark, sf))
-    out = sp.bilinear_upsample(cells, S, 13, 11, {"z0": F.col("logits")[0], "v": F.col("v")})
-    return rounded(out, "z0", "v")
+    out = sp.bilinear_upsample(cells, S, 13, 11, {**{f"z{k}": F.col("logits")[k] for k in range(8)}, "v": F.col("v")})
+    return rounded(out, *[f"z{k}" for k in range(8)], "v")
 
 
 def q_blur(spark, sf):
@@ -174,7 +174,7 @@ ENTRIES = {
     ),
     "bilinear_upsample": (
         q_bilinear,
-        with_(*G, f"SELECT g.sample_id, CAST(ty.t AS BIGINT) y, CAST(tx.t AS BIGINT) x, {r6('sum(ty.w*tx.w*ln(CASE WHEN pred=0 THEN conf ELSE (1e0-conf)/7e0 END))')} z0, {r6('sum(ty.w*tx.w*v)')} v FROM grid g JOIN {axis_sql(8, 13)} ty(t,s,w) ON ty.s=g.y JOIN {axis_sql(8, 11)} tx(t,s,w) ON tx.s=g.x GROUP BY ALL"),
+        with_(*G, f"SELECT g.sample_id, CAST(ty.t AS BIGINT) y, CAST(tx.t AS BIGINT) x, {', '.join(r6(f'sum(ty.w*tx.w*ln(CASE WHEN pred={k} THEN conf ELSE (1e0-conf)/7e0 END))') + f' z{k}' for k in range(8))}, {r6('sum(ty.w*tx.w*v)')} v FROM grid g JOIN {axis_sql(8, 13)} ty(t,s,w) ON ty.s=g.y JOIN {axis_sql(8, 11)} tx(t,s,w) ON tx.s=g.x GROUP BY ALL"),
     ),
     "degrade_blur": (
         q_blur,

@@ -14,7 +14,7 @@ from plumbline.operators import ranking as rk
 from plumbline.operators import regions as rg
 from plumbline.plans import fixtures as fx
 
-ITERATIONS, SEED = 200, 20260721
+ITERATIONS, SEED = 1000, 20260721
 OUT = ["mean_difference", "ci95_low", "ci95_high"]
 
 

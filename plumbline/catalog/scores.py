@@ -12,9 +12,9 @@ from plumbline.plans import fixtures as fx
 
 C = fx.CLASSES
 T = 3.0
-RULES = [("raw", None, 1.0), ("clean_global", None, 3.0), ("per_degradation", "clean", 3.0), ("per_degradation", "drop", 2.5), ("per_degradation", "gain", 4.5)]
+RULES = [("raw", None, 1.0), ("clean_global", None, 3.0), ("pooled", None, 3.5), ("per_degradation", "clean", 3.0), ("per_degradation", "drop", 2.5), ("per_degradation", "gain", 4.5)]
 RULE_SCHEMA = "method string, degradation_type string, temperature double"
-METHODS = ["raw", "clean_global", "per_degradation"]
+METHODS = ["raw", "clean_global", "pooled", "per_degradation"]
 RULES_SQL = "rules(method, degradation_type, temperature) AS (VALUES " + ", ".join(
     f"('{m}', {'NULL' if d is None else repr(d)}, {t}::DOUBLE)" for m, d, t in RULES
 ) + ")"
@@ -64,7 +64,7 @@ def single_score(name):
 def q_scores_long(spark, sf):
     wide = q_scores(spark, sf).select("vec_id", "condition", *sm.SCORES)
     long = sm.long_scores(wide, sm.SCORES)
-    return long.select("vec_id", "condition", "score_name", F.round(F.col("score").cast("double"), 4).alias("score"))
+    return long.select("vec_id", "condition", "score_name", (F.round(F.col("score").cast("double"), 4) + 0.0).alias("score"))
 
 
 def q_error_map(spark, sf):
@@ -124,7 +124,7 @@ def score_sql(body):
 
 
 LONG_BODY = " UNION ALL ".join(
-    f"SELECT vec_id, condition, '{n}' AS score_name, round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 4) AS score FROM two JOIN raw USING (vec_id, condition)"
+    f"SELECT vec_id, condition, '{n}' AS score_name, round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 4) + 0e0 AS score FROM two JOIN raw USING (vec_id, condition)"
     for n, e in EXPR.items()
 )
 

@@ -68,7 +68,7 @@ def scene_pixels(spark, sf):
 
 def q_split_balance(spark, sf):
     groups = sp.group_histograms(scene_pixels(spark, sf), "scene", "sample_id", 8)
-    scores = sp.split_balance(sp.candidate_splits(groups, "scene", SEED, 5), ["seed"], 8)
+    scores = sp.split_balance(sp.candidate_splits(groups, "scene", SEED, SEEDS), ["seed"], 8)
     return rounded(scores.withColumn("seed", F.col("seed").cast("bigint")), "score")
 
 
@@ -93,7 +93,8 @@ def q_validate_protocol(spark, sf):
     kept = sp.grouped_split(retained(spark, sf).select("sample_id", "sha"), "sha", SEED)
     splits = kept.unionByName(test.select("sample_id", "sha", F.lit("test").alias("split")))
     splits = splits.withColumn("scene", F.concat(F.lit("scene:"), F.substring("sha", 1, 3)))
-    expected = mf.table_fingerprint(splits, ["split"], ["sample_id", "sha"])
+    # stored before the test rows ending in 5 were added: both comparisons have to fire
+    expected = mf.table_fingerprint(splits.filter(~((F.col("split") == "test") & F.col("sample_id").like("%5"))), ["split"], ["sample_id", "sha"])
     reviews = fx.table(spark, sf, "labels").select(F.when(F.col("toxic") == 1, "pending").otherwise("same_scene").alias("review_decision"))
     return pr.validate_protocol(splits, exclusion_rows(spark, sf), reviews, grid_splits(spark, sf), expected, 8, ["sample_id", "sha"])
 
@@ -134,8 +135,8 @@ PROTOCOL = " UNION ALL ".join(
     for name, count in [
         ("ids_crosses_splits", "(SELECT count(*) FROM (SELECT sample_id FROM sp WHERE split<>'test' GROUP BY sample_id HAVING count(DISTINCT split)>1))"),
         ("ids_leaks_to_test", "(SELECT count(*) FROM (SELECT sample_id FROM sp WHERE split<>'test' INTERSECT SELECT sample_id FROM sp WHERE split='test'))"),
-        ("row_count_differs", "CAST(0 AS BIGINT)"),
-        ("fingerprint_differs", "CAST(0 AS BIGINT)"),
+        ("row_count_differs", "CAST((SELECT count(*) > 0 FROM sp WHERE split='test' AND CAST(sample_id AS VARCHAR) LIKE '%5') AS BIGINT)"),
+        ("fingerprint_differs", "CAST((SELECT count(*) > 0 FROM sp WHERE split='test' AND CAST(sample_id AS VARCHAR) LIKE '%5') AS BIGINT)"),
         ("scene_crosses_splits", "(SELECT count(*) FROM (SELECT scene FROM sp WHERE split<>'test' GROUP BY scene HAVING count(DISTINCT split)>1))"),
         ("hash_crosses_splits", "(SELECT count(*) FROM (SELECT sha FROM sp WHERE split<>'test' GROUP BY sha HAVING count(DISTINCT split)>1))"),
         ("hash_leaks_to_test", "(SELECT count(*) FROM (SELECT sha FROM sp WHERE split<>'test' INTERSECT SELECT sha FROM sp WHERE split='test'))"),
@@ -165,7 +166,7 @@ ENTRIES = {
     "grouped_split": (q_grouped_split, with_(*EXCL, RETAINED, GSPLIT, "SELECT sample_id, sha, split FROM kept JOIN gs USING (sha)")),
     "group_isolation": (q_group_isolation, with_(MANIFEST, SPLIT, "SELECT sha FROM spl GROUP BY sha HAVING count(DISTINCT split)>1")),
     "allowed_splits": (q_allowed_splits, with_(MANIFEST, SPLIT, "SELECT split, count(*) n, split IN ('val','calibration') AS allowed FROM spl GROUP BY split")),
-    "split_balance_score": (q_split_balance, with_(*SCENES, *balance_ctes(5), f"SELECT CAST(seed AS BIGINT) seed, {r6('score')} score FROM c6")),
+    "split_balance_score": (q_split_balance, with_(*SCENES, *balance_ctes(SEEDS), f"SELECT CAST(seed AS BIGINT) seed, {r6('score')} score FROM c6")),
     "select_balanced_split": (q_select_balanced, with_(*SCENES, *balance_ctes(SEEDS), f"SELECT CAST(seed AS BIGINT) seed, {r6('s')} score FROM (SELECT seed, round(score, 12) s FROM c6 ORDER BY s, seed LIMIT 1)")),
     "class_coverage": (q_class_coverage, with_(*SCENES, "SELECT s.scene AS split, CAST(k AS INT) AS class_id FROM (SELECT DISTINCT scene FROM scn) s CROSS JOIN range(8) t(k) ANTI JOIN (SELECT DISTINCT scene, label FROM scn) p ON p.scene=s.scene AND p.label=k")),
     "validate_protocol": (

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.calibration import CM, base_ctes, ece_ctes, rounded, unit_sql
+from plumbline.catalog.calibration import CM, base_ctes, cw_ctes, ece_ctes, rounded, unit_sql
 from plumbline.catalog.manifests import DIGEST, SPLIT, with_row_split
 from plumbline.catalog.ranking import SCORES
 from plumbline.catalog.views import LOGIT, MANIFEST, SCORED, r6, softmax, units, with_
@@ -26,9 +26,8 @@ def stream_predictions(spark, sf):
 
 
 def q_calibration_stream(spark, sf):
-    state = st.run_state(st.calibration_state(stream_predictions(spark, sf), BY, C), [*BY, "bin"])
-    out = st.calibration_report(state, BY)
-    return rounded(out.select("condition", "pixels", "nll", "brier_score", "ece"), "nll", "brier_score", "ece")
+    state = st.run_state(st.calibration_state(stream_predictions(spark, sf), BY, C), [*BY, "slot", "bin"])
+    return rounded(st.calibration_report(state, BY), "nll", "brier_score", "ece", "mean_classwise_ece")
 
 
 def q_confusion_stream(spark, sf):
@@ -65,7 +64,7 @@ def q_append_experiment(spark, sf):
 ENTRIES = {
     "calibration_stream": (
         q_calibration_stream,
-        unit_sql(f"SELECT condition, pixels, {r6('nll')} nll, {r6('brier_score')} brier_score, {r6('ece')} ece FROM base JOIN ece USING (condition)", base_ctes("condition"), ece_ctes("condition")),
+        unit_sql(f"SELECT condition, pixels, {r6('nll')} nll, {r6('brier_score')} brier_score, {r6('ece')} ece, {r6('mean_classwise_ece')} mean_classwise_ece FROM base JOIN ece USING (condition) JOIN cwm USING (condition)", base_ctes("condition"), ece_ctes("condition"), cw_ctes("condition"), "cwm AS (SELECT condition, avg(classwise_ece) mean_classwise_ece FROM cw GROUP BY condition)"),
     ),
     "confusion_stream": (q_confusion_stream, unit_sql("SELECT condition, t AS target, CAST(p AS INT) AS prediction, n FROM cm", CM.format(by="condition", src="units", top=9))),
     "write_split": (q_write_split, with_(MANIFEST, SPLIT, f"SELECT split, count(*) AS rows, bit_xor({DIGEST}) AS digest, CAST(sum({DIGEST} % 1000000007) AS BIGINT) AS folded_sum FROM spl GROUP BY split")),

@@ -11,8 +11,6 @@ from plumbline.functions.numerics import linear_quantile, shuffle_index
 from plumbline.operators.prefix import add_hashed_rank
 from plumbline.session import cut_lineage
 
-BROADCAST_ROWS = 200_000
-
 
 def _interval(means: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """2.5 % and 97.5 % of the iteration means (a fixed number per scope)."""
@@ -35,8 +33,8 @@ def paired_bootstrap(df: DataFrame, by: list[str], key: str, values: list[str],
 
     Every row makes one draw per iteration, so the draws spread like the rows;
     all value columns share the draws. The drawn index is uniform, which keeps
-    the join balanced whatever the scopes look like. The value table is
-    broadcast only when counted small.
+    the join balanced whatever the scopes look like. The draws are rows times
+    iterations; where that is too much, call ``poisson_bootstrap``.
     """
     keys = by or ["_all"]
     base = cut_lineage((df if by else df.withColumn("_all", F.lit(0))).select(*keys, key, *values))
@@ -44,15 +42,13 @@ def paired_bootstrap(df: DataFrame, by: list[str], key: str, values: list[str],
     draws = ranked.select(*keys, "rank", "size", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     draws = draws.select(*keys, "iteration", (shuffle_index(seed, F.col("size"), F.col("iteration"), F.col("rank")) + 1).alias("rank"))
     pool = ranked.select(*keys, "rank", *values)
-    if pool.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pool = F.broadcast(pool)
     means = draws.join(pool, [*keys, "rank"]).groupBy(*keys, "iteration").agg(*[F.avg(v).alias(v) for v in values])
     out = _centre(base, keys, values).join(_interval(means, keys, values), [*keys, "metric"])
     return out if by else out.drop("_all")
 
 
-def poisson_weight(u: Column, most: int = 12) -> Column:
-    """Poisson(1) count for a uniform number."""
+def poisson_weight(u: Column, most: int = 20) -> Column:
+    """Poisson(1) count for a uniform number of 60 bits: counts above 20 have less than 2^-60."""
     weight, reached, p = F.lit(0), 0.0, math.exp(-1.0)
     for k in range(most):
         reached += p

@@ -132,6 +132,11 @@ def _distinct_pairs(a: DataFrame, b: DataFrame | None, max_d: int, hot_bucket: i
     return joined.filter((close <= max_d) & _first_hit(max_d)).withColumn("distance", close.cast("bigint")).drop(*keys)
 
 
+def hash_pairs(hashes: DataFrame, max_d: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Pairs of distinct hashes ``h`` within ``max_d`` bits; other columns get the suffixes _a and _b."""
+    return _distinct_pairs(hashes, None, max_d, hot_bucket)
+
+
 def hamming_pairs(df: DataFrame, unit: str, h: Column, max_d: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Unordered pairs within ``max_d`` bits.
 
@@ -200,7 +205,7 @@ def hamming_topk(a: DataFrame, b: DataFrame, unit: str, h: Column, k: int, hot_b
 
 
 def distance_summary(pairs: DataFrame, by: str = "comparison") -> DataFrame:
-    """spread of the distances per comparison (of a top-k table)."""
+    """spread of the distances per comparison (of a top-k table of unit pairs)."""
     return pairs.groupBy(by).agg(
         F.min("distance").alias("min_distance"),
         F.median("distance").alias("median_distance"),
@@ -269,7 +274,7 @@ def knn_cosine(df: DataFrame, unit: str, vector: str, dims: int, k: int, min_cos
     """
     radius = math.sqrt(2.0 - 2.0 * min_cos) * (1 + 1e-9)
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v))
-    unit_rows = df.select(F.col(unit).alias("unit"), F.zip_with(vector, F.array_repeat(norm, F.size(vector)), lambda v, n: v / n).alias("e"))
+    unit_rows = df.select(F.col(unit).alias("unit"), F.zip_with(vector, F.array_repeat(F.greatest(norm, F.lit(1e-12)), F.size(vector)), lambda v, n: v / n).alias("e"))
     named = unit_rows.select("unit", "e", F.sha2(F.to_json("e"), 256).alias("vid"))
     sizes = named.groupBy("vid").agg(F.first("e").alias("e"), F.count(F.lit(1)).alias("n"))
     firsts = head_per_group(named.select("vid", "unit"), ["vid"], ["unit"], k + 1)

@@ -162,8 +162,8 @@ def degrade_turbidity(df: DataFrame, sample: str, height: Column, width: Column,
     return _replace(df, hazed(sample=sample, height=height, width=width, **parameters))
 
 
-def degrade_blur(df: DataFrame, sample: list[str], kernel_size: int, sigma: float, height: Column | None = None, width: Column | None = None) -> DataFrame:
-    return gaussian_blur(df, sample, kernel_size, sigma, list(CHANNELS), height, width)
+def degrade_blur(df: DataFrame, sample: list[str], kernel_size: int, sigma: float) -> DataFrame:
+    return gaussian_blur(df, sample, kernel_size, sigma, list(CHANNELS))
 
 
 @dataclass(frozen=True)
@@ -208,17 +208,16 @@ PointTransform = Callable[..., list[Column]]
 POINT: dict[str, PointTransform] = {"color_attenuation": attenuated, "lowlight": darkened}
 
 
-def register_transform(degradation_type: str, transform: PointTransform) -> None:
-    """Add a point transform; it returns the three new channel columns."""
-    POINT[degradation_type] = transform
-
-
-def apply_conditions(df: DataFrame, sample: str, conditions: tuple[Condition, ...], height: Column, width: Column) -> DataFrame:
+def apply_conditions(df: DataFrame, sample: str, conditions: tuple[Condition, ...], height: Column, width: Column, transforms: dict[str, PointTransform] | None = None) -> DataFrame:
     """Every pixel under every condition; coordinates and labels are kept.
 
+    ``transforms`` (N1) adds point transforms by degradation type; each returns
+    the three new channel columns.
+
     Point conditions are computed side by side in one scan and fanned out; only
     the neighbourhood conditions add a shuffle of their own.
     """
+    point = POINT | (transforms or {})
     rest = [c for c in df.columns if c not in CHANNELS]
     rows, blurs = [], []
     for c in conditions:
@@ -229,14 +228,14 @@ def apply_conditions(df: DataFrame, sample: str, conditions: tuple[Condition, ..
             channels = [F.col(name).cast("bigint") for name in CHANNELS]
         elif c.degradation_type == "turbidity":
             channels = hazed(sample=sample, height=height, width=width, **c.parameters)
-        elif c.degradation_type in POINT:
-            channels = POINT[c.degradation_type](**c.parameters)
+        elif c.degradation_type in point:
+            channels = point[c.degradation_type](**c.parameters)
         else:
             raise ValueError(f"unsupported degradation type {c.degradation_type}")
         rows.append(F.struct(F.lit(c.name).alias("condition"), *[v.alias(n) for v, n in zip(channels, CHANNELS)]))
     out = df.select(*rest, F.inline(F.array(*rows))) if rows else None
     for c in blurs:
-        blurred = degrade_blur(df, [sample], height=height, width=width, **c.parameters)
+        blurred = degrade_blur(df, [sample], **c.parameters)
         kept = blurred.withColumn("condition", F.lit(c.name)).select(*rest, "condition", *CHANNELS)
         out = kept if out is None else out.unionByName(kept)
     return out

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 RANGES = 256
 HEAVY_ROWS = 500_000
-SALTS = 16
 
 
 def _with_range(df: DataFrame, value: str, cuts: str, out: str, ranges: int) -> DataFrame:
@@ -48,12 +49,12 @@ def _shared_prefix(low: Column, high: Column) -> Column:
 
 
 def _numeric_tie(df: DataFrame, keys: list[str], tie: str) -> DataFrame:
-    """``_tie``: a number that orders like the tie-breaker, for cutting only."""
+    """``_tie``: a number that orders like the tie-breaker, for cutting only; ``keys`` are large scopes, which are few."""
     if df.schema[tie].dataType.simpleString() != "string":
         return df.withColumn("_tie", F.col(tie))
     ends = df.groupBy(*keys).agg(F.min(tie).alias("_lo"), F.max(tie).alias("_hi"))
     ends = ends.select(*keys, _shared_prefix(F.col("_lo"), F.col("_hi")).alias("_skip"))
-    return df.join(ends, keys).withColumn("_tie", _text_position(F.col(tie), F.col("_skip"))).drop("_skip")
+    return df.join(F.broadcast(ends), keys).withColumn("_tie", _text_position(F.col(tie), F.col("_skip"))).drop("_skip")
 
 
 def add_prefix(
@@ -67,33 +68,51 @@ def add_prefix(
 ) -> DataFrame:
     """Add ``<name>_before`` (exclusive prefix) and ``<name>_total`` per scope.
 
-    Order inside a scope is ``value`` ascending, then ``tie``. Scopes of up to
-    ``heavy`` rows stay in one range; only larger ones get cut points.
+    Order inside a scope is ``value`` ascending, then ``tie``. The input is
+    stored and read once more to count the scopes. Scopes of up to ``heavy`` rows
+    take one window; only larger ones get cut points, at least ``ranges`` and as
+    many as keep a range below half of ``heavy``.
     """
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
-    base = base.select("*", *[expr.alias(f"_in_{name}") for name, expr in sums.items()])
+    base = cut_lineage(base.select("*", *[expr.alias(f"_in_{name}") for name, expr in sums.items()]))
+    # at most one row per ``heavy`` rows of the input
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > heavy)
+    most = sizes.agg(F.max("_size")).first()[0]
+    order = [F.col(value)] + ([F.col(tie)] if tie else [])
+    whole = W.partitionBy(*keys)
+    before = whole.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *df.columns,
+            *[F.coalesce(F.sum(f"_in_{n}").over(before), F.lit(0)).alias(f"{n}_before") for n in sums],
+            *[F.sum(f"_in_{n}").over(whole).alias(f"{n}_total") for n in sums],
+        )
+
+    if most is None:
+        return windowed(base)
+    large = F.broadcast(cut_lineage(sizes))
+    ranges = max(ranges, -(-2 * most // max(heavy, 10_000)))
+    light = base.join(large, keys, "left_anti")
+    return windowed(light).unionByName(_ranged_prefix(base.join(large.drop("_size"), keys), df.columns, keys, value, sums, tie, ranges))
+
+
+def _ranged_prefix(base: DataFrame, columns: list[str], keys: list[str], value: str, sums: dict[str, Column], tie: str | None, ranges: int) -> DataFrame:
+    """The prefix of large scopes: cut at quantiles, totals of the ranges accumulated, windows inside."""
     if tie:
         base = _numeric_tie(base, keys, tie)
     probabilities = [i / ranges for i in range(1, ranges)]
-    # Totals and cut points come from one aggregation that reads the same columns
-    # as the range totals, so both reuse the shuffle of the input.
-    heavy_scope = F.count(F.lit(1)) > heavy
 
     def cuts(column: str, name: str) -> Column:
-        points = F.array_distinct(F.percentile_approx(column, probabilities, 8 * ranges))
-        return F.when(heavy_scope, points).alias(name)
+        return F.array_distinct(F.percentile_approx(column, probabilities, 8 * ranges)).alias(name)
 
     aggs = [F.sum(f"_in_{n}").alias(f"{n}_total") for n in sums] + [cuts(value, "_cuts")]
     if tie:
         aggs.append(cuts("_tie", "_tie_cuts"))
-    # A hot scope must not meet its totals in one task: salted on the row side,
-    # repeated a fixed number of times on the side with one row per scope.
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    scopes = base.groupBy(*keys).agg(*aggs).select("*", copies)
-    # never null, or the join would infer a filter with the whole value expression
-    salt = F.coalesce(F.pmod(F.hash(value, *([tie] if tie else [])), F.lit(SALTS)), F.lit(0))
-    located = base.withColumn("_salt", salt).join(scopes, [*keys, "_salt"]).drop("_salt")
+    # one row per large scope, with one cut for every half limit of its rows
+    scopes = base.groupBy(*keys).agg(*aggs)
+    located = base.join(F.broadcast(scopes), keys)
     located = _with_range(located, value, "_cuts", "_range", ranges)
     if tie:
         located = _with_range(located, "_tie", "_tie_cuts", "_place", ranges)
@@ -103,8 +122,7 @@ def add_prefix(
     located = located.drop("_cuts")
     cell = [*keys, "_range", "_sub"]
     totals = located.groupBy(*cell).agg(*[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in sums])
-    scope = W.partitionBy(*keys)
-    running = scope.orderBy("_range", "_sub").rowsBetween(W.unboundedPreceding, -1)
+    running = W.partitionBy(*keys).orderBy("_range", "_sub").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *cell,
         *[F.coalesce(F.sum(f"_sum_{n}").over(running), F.lit(0)).alias(f"_off_{n}") for n in sums],
@@ -113,7 +131,7 @@ def add_prefix(
     inside = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     joined = located.join(offsets, cell)
     return joined.select(
-        *df.columns,
+        *columns,
         *[
             (F.col(f"_off_{n}") + F.coalesce(F.sum(f"_in_{n}").over(inside), F.lit(0))).alias(f"{n}_before")
             for n in sums

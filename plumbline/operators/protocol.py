@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 
 def assert_unique(df: DataFrame, on: list[str], what: str = "key") -> DataFrame:
     """Fail while running if a key repeats; the row itself passes unchanged."""
@@ -138,6 +140,7 @@ def validate_protocol(
     """
     from plumbline.sources.manifests import table_fingerprint
 
+    splits = cut_lineage(splits)
     actual = table_fingerprint(splits, ["split"], fingerprint_columns)
     stored = expected.select("split", F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
     compared = actual.join(stored, "split", "full_outer").agg(

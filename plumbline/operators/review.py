@@ -7,11 +7,42 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import near
 from plumbline.operators.protocol import DECISIONS
+from plumbline.operators.rows import head_per_group
+from plumbline.session import cut_lineage
 from plumbline.sources.manifests import clean_text
 
 VERDICT = ("review_decision", "reviewer", "review_date", "notes")
 
 
+def hash_candidates(df: DataFrame, unit: str, h: Column, max_d: int) -> DataFrame:
+    """Pairs ``(id_a, id_b)`` of different content within ``max_d`` bits, none across partitions lost.
+
+    Members of one hash and partition stand together. Every pair of near hashes
+    gives, for each combination of their partitions, its first pair of different
+    content; so does every hash for two of its own partitions. Inside a hash and
+    partition the first unit is linked with the first of every other content.
+    The first unit of the first two contents is all that such a pair can need,
+    so the output is linear in the members.
+    """
+    rows = df.select(F.col(unit).alias("unit"), "part", "sha", h.alias("h"))
+    contents = rows.groupBy("h", "part", "sha").agg(F.min("unit").alias("unit"))
+    firsts = head_per_group(contents, ["h", "part"], ["unit"], 2).groupBy("h", "part").agg(F.array_sort(F.collect_list(F.struct("unit", "sha"))).alias("members"))
+    hashes = cut_lineage(firsts.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("part", "members"))).alias("parts")))
+
+    def combined(pairs: DataFrame, wanted: Column) -> DataFrame:
+        each = pairs.withColumn("pa", F.explode("parts_a")).withColumn("pb", F.explode("parts_b")).filter(wanted)
+        both = F.flatten(F.transform("pa.members", lambda a: F.transform("pb.members", lambda b: F.struct(F.least(a["unit"], b["unit"]).alias("id_a"), F.greatest(a["unit"], b["unit"]).alias("id_b"), (a["sha"] != b["sha"]).alias("differ")))))
+        return each.select(F.array_min(F.filter(both, lambda p: p["differ"])).alias("p")).filter("p IS NOT NULL").select("p.id_a", "p.id_b")
+
+    near_hashes = near.hash_pairs(hashes, max_d)
+    across = combined(near_hashes, F.lit(True))
+    own = hashes.filter(F.size("parts") > 1).select(F.col("parts").alias("parts_a"), F.col("parts").alias("parts_b"))
+    crossing = combined(own, F.col("pa.part") < F.col("pb.part"))
+    centres = firsts.select("h", "part", F.col("members")[0]["unit"].alias("id_a"))
+    star = cut_lineage(contents).join(cut_lineage(centres), ["h", "part"]).filter(F.col("unit") != F.col("id_a")).select("id_a", F.col("unit").alias("id_b"))
+    return across.unionByName(crossing).unionByName(star).distinct()
+
+
 def near_duplicate_candidates(
     df: DataFrame, unit: str, hashes: dict[str, Column], vector: str, dims: int, max_d: int = 4, k: int = 6, min_cos: float = 0.995
 ) -> DataFrame:
@@ -20,9 +51,10 @@ def near_duplicate_candidates(
     ``df`` carries ``unit, part, sha``, the hash inputs and ``vector``. Pairs
     are named in manifest order (part, id).
     """
+    df = cut_lineage(df)
     sources = []
     for column in hashes.values():
-        pairs = near.hamming_pairs(df, unit, column, max_d)
+        pairs = hash_candidates(df, unit, column, max_d)
         sources.append(pairs.select("id_a", "id_b", F.lit("perceptual_hash").alias("source"), F.lit(None).cast("double").alias("cosine")))
     close = near.knn_cosine(df, unit, vector, dims, k, min_cos)
     sources.append(

@@ -22,10 +22,10 @@ def score_with_model(df: DataFrame, make_predict_fn: Callable, inputs: str, widt
 
 
 def embed(df: DataFrame, make_predict_fn: Callable, inputs: str, width: int, out: str = "embedding", **options) -> DataFrame:
-    """As ``score_with_model``, with rows scaled to unit length."""
+    """As ``score_with_model``, with rows scaled to unit length; zero stays zero."""
     scored = score_with_model(df, make_predict_fn, inputs, width, "_raw", **options)
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, v: a + v * v))
-    return scored.withColumn(out, F.zip_with("_raw", F.array_repeat(norm, F.size("_raw")), lambda v, n: v / n)).drop("_raw")
+    return scored.withColumn(out, F.zip_with("_raw", F.array_repeat(F.greatest(norm, F.lit(1e-12)), F.size("_raw")), lambda v, n: v / n)).drop("_raw")
 
 
 def linear_predictor(width: int, classes: int = 4) -> Callable:

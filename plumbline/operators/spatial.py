@@ -16,57 +16,30 @@ def with_extent(df: DataFrame, sample: list[str]) -> DataFrame:
     return df.join(_extent(df, sample), sample)
 
 
-def neighbours(df: DataFrame, sample: list[str], radius: int, values: list[str]) -> DataFrame:
-    """Edge-replicated windows, scattered from the source side.
-
-    Each source cell is sent to every centre that reads it; a cell on the edge
-    answers once per replicated offset (column ``times``). Scattering needs one
-    shuffle on the centre key and no self-join of the pixel table.
-    """
-    cells = with_extent(df.select(*sample, "y", "x", *values), sample)
-
-    def axis(name: str, top: str) -> Column:
-        position = F.col(name)
-        centres = F.sequence(F.greatest(position - radius, F.lit(0)), F.least(position + radius, F.col(top)))
-
-        def times(c: Column) -> Column:
-            low = F.when(position == 0, F.greatest(radius - c, F.lit(0))).otherwise(0)
-            high = F.when(position == F.col(top), F.greatest(radius - (F.col(top) - c), F.lit(0))).otherwise(0)
-            return F.struct(c.alias("at"), (1 + low + high).alias("times"))
-
-        return F.transform(centres, times)
-
-    rows = cells.withColumn("_ys", F.explode(axis("y", "_my"))).withColumn("_xs", F.explode(axis("x", "_mx")))
-    return rows.select(
-        *sample,
-        F.col("_ys.at").alias("cy"),
-        F.col("_xs.at").alias("cx"),
-        (F.col("_ys.times") * F.col("_xs.times")).alias("times"),
-        "y",
-        "x",
-        *values,
-    )
+def _line(sample: list[str], axis: str, radius: int):
+    """Window along an image row (axis x) or column (axis y), clipped at its ends."""
+    return W.partitionBy(*sample, "y" if axis == "x" else "x").orderBy(axis).rowsBetween(-radius, radius)
 
 
 def local_disagreement(df: DataFrame, sample: list[str], pred: str = "pred", radius: int = 1) -> DataFrame:
     """Share of the window whose prediction differs from the centre's.
 
-    The centre's own row arrives in the same group, so the class counts of the
-    window and the centre class come out of one aggregation.
+    Every pixel gathers its neighbours along the row, then the gathered lists
+    along the column: two windows over single image lines, no copies of pixels
+    and no join. A list cut short by the edge repeats its end.
     """
-    area = (2 * radius + 1) ** 2
-    votes = neighbours(df, sample, radius, [pred])
-    key = [*sample, "cy", "cx"]
-    per_class = votes.groupBy(*key, pred).agg(
-        F.sum("times").alias("_n"), F.max((F.col("y") == F.col("cy")) & (F.col("x") == F.col("cx"))).alias("_own")
-    )
-    same = per_class.filter("_own").select(
-        *sample,
-        F.col("cy").alias("y"),
-        F.col("cx").alias("x"),
-        (1.0 - F.col("_n") / area).alias("local_disagreement"),
-    )
-    return df.join(same, [*sample, "y", "x"])
+    side = 2 * radius + 1
+
+    def padded(found: Column, axis: str) -> Column:
+        before = F.greatest(F.lit(radius) - F.col(axis), F.lit(0)).cast("int")
+        after = F.lit(side) - before - F.size(found)
+        return F.concat(F.array_repeat(F.get(found, F.lit(0)), before), found, F.array_repeat(F.get(found, F.size(found) - 1), after))
+
+    rows = df.withColumn("_row", F.collect_list(F.struct(F.col(pred).alias("p"))).over(_line(sample, "x", radius)))
+    rows = rows.withColumn("_row", padded(F.col("_row"), "x"))
+    both = rows.withColumn("_box", F.collect_list("_row").over(_line(sample, "y", radius))).drop("_row")
+    differs = F.filter(F.flatten(padded(F.col("_box"), "y")), lambda v: ~v["p"].eqNullSafe(F.col(pred)))
+    return both.withColumn("local_disagreement", F.size(differs) / float(side * side)).drop("_box")
 
 
 def boundary_mask(df: DataFrame, sample: list[str], radius: int, label: str = "label", out: str = "boundary") -> DataFrame:
@@ -158,57 +131,35 @@ def gaussian_weights(kernel: int, sigma: float) -> list[float]:
 
 
 def gaussian_blur(
-    df: DataFrame, sample: list[str], kernel: int, sigma: float, channels: list[str], height: Column | None = None, width: Column | None = None
+    df: DataFrame, sample: list[str], kernel: int, sigma: float, channels: list[str]
 ) -> DataFrame:
     """Separable Gaussian with a mirrored border that skips the edge pixel.
 
-    One scatter and one sum per axis. A mirrored source is never farther than
-    the radius from its target, so the scatter range stays the plain window.
-    Other columns ride along with the centre pixel. ``height`` and ``width``
-    spare the size aggregation where the sizes are known.
+    Every pixel gathers its image line within the radius, along rows and then
+    along columns, and sums it with the weights; a mirrored source is never
+    farther than the radius from its target. Two windows over single lines, no
+    copies of pixels. A line's size matters only where the window is clipped, and
+    there the clipped list ends with the line. Other columns ride along.
     """
     if kernel < 3 or kernel % 2 == 0 or sigma <= 0:
         raise ValueError("blur needs an odd kernel of at least 3 and a positive sigma")
     radius, weights = kernel // 2, gaussian_weights(kernel, sigma)
-    table = F.array(*[F.lit(w) for w in weights[radius:]])
     extra = [c for c in df.columns if c not in (*sample, "y", "x", *channels)]
-
-    def at_distance(d: Column) -> Column:
-        return F.when(F.abs(d) <= radius, F.get(table, F.abs(d).cast("int"))).otherwise(0.0)
-
-    def share(target: Column, source: Column, size: Column) -> Column:
-        last = size - 1
-        plain = at_distance(source - target)
-        left = F.when(source != 0, at_distance(source + target)).otherwise(0.0)
-        right = F.when(source != last, at_distance(2 * last - source - target)).otherwise(0.0)
-        # an image narrower than the radius is mirrored more than once
-        period = F.greatest(2 * last, F.lit(1))
-        folded = F.lit(0.0)
-        for d, w in zip(range(-radius, radius + 1), weights):
-            spot = F.pmod(target + d, period)
-            folded = folded + F.when(F.least(spot, period - spot) == source, w).otherwise(0.0)
-        return F.when(size == 1, 1.0).when(size > radius, plain + left + right).otherwise(folded)
-
-    def pass_along(rows: DataFrame, axis: str, size: str, keys: list[str]) -> DataFrame:
-        position = F.col(axis)
-        targets = F.sequence(F.greatest(position - radius, F.lit(0)), F.least(position + radius, F.col(size) - 1))
-        spread = rows.withColumn("_t", F.explode(targets))
-        spread = spread.withColumn("_share", share(F.col("_t"), position, F.col(size)))
-        carried = [F.when(F.col("_t") == position, F.col(c)).alias(c) for c in extra]
-        spread = spread.select(
-            *[c for c in keys if c != axis], F.col("_t").alias(axis), *carried, *[(F.col("_share") * F.col(c)).alias(c) for c in channels]
-        )
-        return spread.groupBy(*keys).agg(*[F.max(c).alias(c) for c in extra], *[F.sum(c).alias(c) for c in channels])
-
-    if height is None or width is None:
-        rows = _sized(df, sample)
-    else:
-        place = [F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x")]
-        sizes = [height.cast("bigint").alias("_h"), width.cast("bigint").alias("_w")]
-        rows = df.select(*sample, *place, *extra, *channels, *sizes)
-    across = pass_along(rows, "x", "_w", [*sample, "_h", "y", "x"])
-    down = pass_along(across, "y", "_h", [*sample, "y", "x"])
-    return down.select(*sample, "y", "x", *extra, *[F.rint(c).cast("bigint").alias(c) for c in channels])
+    place = [F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x")]
+    rows = df.select(*sample, *place, *extra, *channels)
+    for axis in ("x", "y"):
+        gathered = rows.withColumn("_line", F.collect_list(F.struct(*channels)).over(_line(sample, axis, radius)))
+        first = F.greatest(F.col(axis) - radius, F.lit(0))
+        period = F.greatest(2 * (first + F.size("_line") - 1), F.lit(1))
+
+        def source(d: int) -> Column:
+            spot = F.pmod(F.col(axis) + d, period)
+            return F.get(F.col("_line"), (F.least(spot, period - spot) - first).cast("int"))
+
+        picked = gathered.withColumn("_taps", F.array(*[source(d) for d in range(-radius, radius + 1)]))
+        sums = {c: sum((F.get(F.col("_taps"), F.lit(i))[c] * w for i, w in enumerate(weights)), F.lit(0.0)) for c in channels}
+        rows = picked.select(*[c for c in rows.columns if c not in channels], *[total.alias(c) for c, total in sums.items()])
+    return rows.select(*sample, "y", "x", *extra, *[F.rint(c).cast("bigint").alias(c) for c in channels])
 
 
 def class_histogram(df: DataFrame, by: list[str], classes: int, label: str = "label") -> DataFrame:

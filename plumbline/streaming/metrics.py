@@ -19,13 +19,13 @@ from plumbline.session import ensure_checkpoint_dir
 
 
 def calibration_state(df: DataFrame, by: list[str], classes: int, temperature=1.0, bins: int = cal.BINS) -> DataFrame:
-    """M1 state: bin sums per scope of a stream (or batch) of predictions."""
-    return cal.bin_sums(unit_stats(df, classes, temperature), by, bins)
+    """M1 state: overall and class-wise bin sums per scope of a stream (or batch) of predictions."""
+    return cal.slot_sums(unit_stats(df, classes, temperature, keep=True), by, classes, bins)
 
 
 def calibration_report(state: DataFrame, by: list[str]) -> DataFrame:
-    """M1 result after any batch."""
-    return cal.merge_bins(state, by)
+    """M1 result after any batch: NLL, Brier, ECE and the mean class-wise ECE."""
+    return cal.merge_scopes(cal.merge_slots(state, by), by).select(*by, "pixels", "nll", "brier_score", "ece", "mean_classwise_ece")
 
 
 def confusion_state(df: DataFrame, by: list[str], classes: int) -> DataFrame:

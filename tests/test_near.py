@@ -122,3 +122,28 @@ def test_scene_source_labels(spark):
     assert got["a"] == ("scene:a", "exact_sha")
     assert got["c"] == ("scene:a", "exact_sha_plus_reviewed_near_duplicate")
     assert got["d"] == ("scene:d", "exact_sha")
+
+
+def test_candidates_across_partitions_are_complete(spark):
+    """A test copy behind another unit's hash is not lost."""
+    from plumbline.operators.review import hash_candidates
+
+    rows = [("a1", "train_val", "s1", 0b11), ("b1", "train_val", "s2", 0), ("b2", "test", "s3", 0), ("b3", "test", "s2", 0), ("c1", "test", "s1", 1 << 40 | 0xFF << 8)]
+    df = spark.createDataFrame(rows, "id string, part string, sha string, h long")
+    got = {tuple(r) for r in hash_candidates(df, "id", F.col("h"), 4).collect()}
+    assert got == {("a1", "b1"), ("a1", "b2"), ("b1", "b2"), ("b2", "b3")}
+
+
+def test_candidates_skip_equal_content_only(spark):
+    """Where the first units of two sets are copies, the first different pair stands for them."""
+    from plumbline.operators.review import hash_candidates
+
+    rows = [("a", "train_val", "s1", 0), ("b", "test", "s1", 1), ("c", "test", "s1", 1), ("d", "test", "s2", 1)]
+    df = spark.createDataFrame(rows, "id string, part string, sha string, h long")
+    assert {tuple(r) for r in hash_candidates(df, "id", F.col("h"), 4).collect()} == {("a", "d"), ("b", "d")}
+
+
+def test_zero_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0] * 8), (2, [1.0] + [0.0] * 7), (3, [1.0] + [0.0] * 7)], "id long, v array<double>")
+    got = {tuple(r)[:2] for r in near.knn_cosine(df, "id", "v", 8, 2, 0.99).collect()}
+    assert got == {(2, 3), (3, 2)}

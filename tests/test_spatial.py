@@ -177,10 +177,10 @@ def test_conditions_keep_the_layout(spark):
         px.apply_conditions(df, "sample_id", (px.Condition("x", "fog", 1),), F.lit(6), F.lit(5))
 
 
-def test_user_transform_can_be_registered(spark):
+def test_user_transform_is_passed_in(spark):
     _, df = colours(spark)
-    px.register_transform("invert", lambda: [F.lit(255) - F.col(c) for c in px.CHANNELS])
-    out = px.apply_conditions(df, "sample_id", (px.Condition("inv", "invert", 1),), F.lit(6), F.lit(5))
+    invert = {"invert": lambda: [F.lit(255) - F.col(c) for c in px.CHANNELS]}
+    out = px.apply_conditions(df, "sample_id", (px.Condition("inv", "invert", 1),), F.lit(6), F.lit(5), invert)
     assert out.join(df.select("y", "x", F.col("r").alias("before")), ["y", "x"]).filter("r + before <> 255").isEmpty()
 
 
