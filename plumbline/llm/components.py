@@ -10,10 +10,10 @@ from plumbline.llm.store import stored
 MAX_ROUNDS = 60
 
 
-def smallest_reachable(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def smallest_reachable(links: DataFrame) -> DataFrame:
     """Per linked node: node, label (smallest node it reaches).
 
-    ``nodes`` has a column node, ``links`` u and v. Every round offers each node
+    ``links`` has columns u and v. Every round offers each node
     and its present root the smallest label next to it, then follows labels one
     step, so paths halve. Minima are combined before the shuffle; the label
     lookup joins stored tables, whose hot labels the runtime can split. Each

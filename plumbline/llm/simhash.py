@@ -11,9 +11,9 @@ Only distinct fingerprints are compared, so copies cost nothing. Links are
 between fingerprints, at most one row per pair; membership is one row per document.
 
 Defined cases: a null or empty text has fingerprint zero and links like any
-other; repeated rows and repeated ids share a component; a missing id takes part
-and orders last, and a component of missing ids only has component_id null; an
-empty table gives no rows.
+other; repeated rows share a component, rows that share an id only if their
+fingerprints link; a missing id takes part and orders last, and a component of
+missing ids only has component_id null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,19 +79,15 @@ def near_links(prints: DataFrame) -> DataFrame:
     return joined.select("u", "v")
 
 
-def _numbered(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with fingerprints, and one node per distinct fingerprint, both stored."""
-    rows = stored(prints)
-    nodes = stored(rows.groupBy("print").agg(F.min("_id").alias("node")))
-    return rows, nodes
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id, _id."""
-    rows, nodes = _numbered(docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), fingerprints(F.col("text")).alias("print")))
-    # a repeated id may stand for several fingerprints: they share a node and so a component
-    labels = smallest_reachable(nodes, near_links(nodes))
-    named = stored(nodes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component")))
+    """Per row: doc_id, fingerprint (16 hex digits), component_id, _id, component."""
+    rows = stored(docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), fingerprints(F.col("text")).alias("print")))
+    prints = stored(rows.groupBy("print").agg(F.min("_id").alias("least")))
+    labels = stored(smallest_reachable(near_links(prints.select(F.col("print").alias("node"), "print"))))
+    linked = labels.withColumnRenamed("node", "print")
+    least = stored(linked.join(prints, "print").groupBy("label").agg(F.min("least").alias("component")))
+    found = linked.join(least, "label").select("print", "component")
+    named = stored(prints.join(found, "print", "left").select("print", F.coalesce("component", "least").alias("component")))
     return rows.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"), "_id", "component")
 
 
@@ -101,7 +97,10 @@ def component_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id; columns unchanged."""
+    """One document of each component, the one with the smallest id; columns unchanged.
+
+    Of rows that share an id one stays.
+    """
     keep = near_duplicates(docs).filter(F.col("_id") == F.col("component")).select("_id").distinct()
     keyed = packed(docs, F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"))
     return unpacked(keyed.join(stored(keep), "_id", "left_semi").dropDuplicates(["_id"]))
