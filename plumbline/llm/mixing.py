@@ -63,21 +63,19 @@ def _uniform(doc_id: Column) -> Column:
 
 def _with_targets(cells: DataFrame, targets: dict) -> DataFrame:
     """Adds _t_<dimension>: the mass that the cell's category is to have."""
+    whole = cells.agg(F.sum("_mass")).first()[0]
     for name in DIMENSIONS:
         target, key = targets[name], f"_{name}"
-        sums = cells.groupBy(key).agg(F.sum("_mass").alias("_m"))
-        whole = cells.agg(F.sum("_mass").alias("_whole"))
-        found = F.col("_m") / F.col("_whole")
+        found = F.sum("_mass") / F.lit(float(whole or 1))
         if isinstance(target, dict):
             wanted = found
             for category, share in target.items():
                 wanted = F.when(F.col(key) == category, F.lit(float(share))).otherwise(wanted)
         else:
             wanted = F.pow(found, F.lit(float(target)))
-        shares = sums.crossJoin(F.broadcast(whole)).select(key, "_whole", wanted.alias("_wanted"))
-        total = shares.agg(F.sum("_wanted").alias("_total"))
-        shares = shares.crossJoin(F.broadcast(total)).select(key, (F.col("_whole") * F.col("_wanted") / F.col("_total")).alias(f"_t_{name}"))
-        cells = cells.join(shares, key)
+        shares = cells.groupBy(key).agg(wanted.alias("_wanted"))
+        total = shares.agg(F.sum("_wanted")).first()[0]
+        cells = cells.join(shares.select(key, (F.col("_wanted") * (whole or 0) / (total or 1.0)).alias(f"_t_{name}")), key)
     return cells
 
 
