@@ -127,11 +127,14 @@ def test_interval_has_the_right_width(spark, draw):
     assert r.ci95_high == pytest.approx(values.mean() + 1.96 * error, abs=0.6 * error)
 
 
-def test_bootstrap_does_not_depend_on_partitioning_or_broadcast(spark, monkeypatch):
+def test_bootstrap_does_not_depend_on_partitioning_or_broadcast(spark):
     df = spark.range(60).select((F.col("id") % 2).alias("g"), F.col("id").alias("c"), F.sqrt("id").alias("v"))
     a = sorted(map(tuple, bs.paired_bootstrap(df, ["g"], "c", ["v"], 50, 9).collect()))
-    monkeypatch.setattr(bs, "BROADCAST_ROWS", 0)
-    b = sorted(map(tuple, bs.paired_bootstrap(df.repartition(11), ["g"], "c", ["v"], 50, 9).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = sorted(map(tuple, bs.paired_bootstrap(df.repartition(11), ["g"], "c", ["v"], 50, 9).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [x[:3] for x in a] == [x[:3] for x in b]
     assert np.allclose([x[3:] for x in a], [x[3:] for x in b])
 
