@@ -34,14 +34,21 @@ SEGMENT = 16
 SEGMENTS = 4
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Signed 64-bit SimHash of one text."""
+def shingle_values(text: str | None, width: int) -> np.ndarray:
+    """XXH64 values of a text's shingles, in order; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    values = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Signed 64-bit SimHash of one text."""
+    values = shingle_values(text, width)
+    if not len(values):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(values), 4096):
         part = values[start : start + 4096]
