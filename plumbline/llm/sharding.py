@@ -1,7 +1,7 @@
 """Sharding by minimax contiguous partition.
 
-Equal texts form one atomic group. Groups are ordered by their smallest doc_id
-and cut into contiguous shards so that the largest shard is as small as any
+Equal texts form one atomic group. Groups are ordered by their smallest doc_id,
+those of missing ids only by their text's hash after all others, and cut into contiguous shards so that the largest shard is as small as any
 contiguous cut allows. The capacity is found by binary search with a greedy
 check. The search reads a summary of the ordered groups (totals of id ranges),
 which is refined by further aggregations only where a cut may fall, the largest
@@ -9,16 +9,17 @@ ranges first, until every cut candidate is a single group. A round returns at
 most ``BLOCKS`` rows to the driver.
 
 Defined cases: a null text counts as empty; rows that share a doc_id stay
-together; null ids come last; an empty table gives no rows; shards may stay
+together; null ids come last, each text of theirs a group of its own; an empty table gives no rows; shards may stay
 empty when groups are few or one group exceeds its share.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from decimal import Decimal
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.store import stored
@@ -27,6 +28,8 @@ from plumbline.llm.text import LAST_ID, constant, place, text_key
 #: Ranges in one summary: the most rows that a round returns to the driver.
 BLOCKS = 32_768
 OVERHEAD = 16
+#: Holds an id, or LAST_ID and a hash above it.
+PLACE = "decimal(20,0)"
 
 
 class Ordered:
@@ -94,18 +97,28 @@ class Ordered:
         return ids
 
 
+def _place(rep: Column, h1: Column) -> Column:
+    """A group's place in the order: its smallest id, or above all ids the first hash of a text without one.
+
+    Texts that share a first hash share a place and stay together.
+    """
+    return F.when(rep == LAST_ID, h1.cast(PLACE) + F.lit(Decimal(1 << 64))).otherwise(rep).cast(PLACE)
+
+
 def _totals(groups: DataFrame) -> list:
     """Totals by _block, in order."""
     made = groups.groupBy("_block").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("groups"), F.max("bytes").alias("most"), F.min("rep").alias("first"), F.max("rep").alias("last"))
-    return sorted((r for r in made.collect() if r["_block"] is not None), key=lambda r: r["first"])
+    found = (r.asDict() for r in made.collect() if r["_block"] is not None)
+    return sorted(({**r, "first": int(r["first"]), "last": int(r["last"])} for r in found), key=lambda r: r["first"])
 
 
 def _split(groups: DataFrame, shards: int, blocks: int) -> list[int]:
-    """Ids after which the ordered groups are cut."""
-    first, last = groups.agg(F.min("rep"), F.max(F.when(F.col("rep") != LAST_ID, F.col("rep")))).first()
+    """Places after which the ordered groups are cut."""
+    nameless = F.col("rep") > F.lit(LAST_ID)
+    first, last = groups.agg(F.min("rep"), F.max(F.when(~nameless, F.col("rep")))).first()
     width = ((last if last is not None else first) - first) // blocks + 1
-    # missing ids are a block of their own, which no id range reaches
-    block = F.when(F.col("rep") == LAST_ID, F.lit(blocks + 1)).otherwise(F.expr(f"(rep - ({first}L)) div {width}L"))
+    # missing ids are a block of their own at first, which no id range reaches
+    block = F.when(nameless, F.lit(blocks + 1)).otherwise(F.floor((F.col("rep") - F.lit(first)) / F.lit(width))).cast("long")
     found = _totals(groups.withColumn("_block", block))
     while open_blocks := Ordered(found).open_blocks(shards):
         chosen = sorted(sorted(open_blocks, key=lambda i: -found[i]["bytes"])[: max(1, blocks // 4)])
@@ -113,9 +126,9 @@ def _split(groups: DataFrame, shards: int, blocks: int) -> list[int]:
         starts, ends = [found[i]["first"] for i in chosen], [found[i]["last"] for i in chosen]
         widths = [(b - a) // each + 1 for a, b in zip(starts, ends)]
         at, rep = F.col("_at"), F.col("rep")
-        piece = at * (each + 1) + F.floor((rep - F.get(constant(starts), at)) / F.get(constant(widths), at))
-        inside = rep.between(F.get(constant(starts), at), F.get(constant(ends), at))
-        placed = groups.withColumn("_at", place(rep, starts)).withColumn("_block", F.when(inside, piece))
+        piece = at * (each + 1) + F.floor((rep - F.get(constant(starts, PLACE), at)) / F.get(constant(widths, PLACE), at)).cast("long")
+        inside = rep.between(F.get(constant(starts, PLACE), at), F.get(constant(ends, PLACE), at))
+        placed = groups.withColumn("_at", place(rep, starts, PLACE)).withColumn("_block", F.when(inside, piece))
         gone = set(chosen)
         found = sorted([*(r for i, r in enumerate(found) if i not in gone), *_totals(placed)], key=lambda r: r["first"])
     return Ordered(found).cuts(shards)
@@ -130,12 +143,13 @@ def shard_documents(docs: DataFrame, shards: int = 40, blocks: int = BLOCKS) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stored(docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *text_key(F.col("text"))))
     rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    texts = stored(rows.groupBy("_h1", "_h2").agg(F.min("_id").alias("rep"), F.sum("size").alias("bytes"), F.count("*").alias("copies")))
+    texts = rows.groupBy("_h1", "_h2").agg(F.min("_id").alias("rep"), F.sum("size").alias("bytes"), F.count("*").alias("copies"))
+    texts = stored(texts.withColumn("rep", _place(F.col("rep"), F.col("_h1"))))
     count = texts.agg(F.sum("copies")).first()[0]
     if not count:
         return _numbered(rows.withColumn("shard", F.lit(0)), 1, shards)
     cuts = _split(stored(texts.groupBy("rep").agg(F.sum("bytes").alias("bytes"))), shards, blocks)
-    shard = sum(((F.col("rep") > cut).cast("int") for cut in cuts), F.lit(0))
+    shard = sum(((F.col("rep") > F.lit(Decimal(cut))).cast("int") for cut in cuts), F.lit(0))
     placed = rows.join(texts.select("_h1", "_h2", "rep"), ["_h1", "_h2"]).withColumn("shard", shard)
     return _numbered(stored(placed), count, shards)
 

@@ -40,14 +40,14 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("_row.*")
 
 
-def constant(values: list[int]) -> Column:
-    """A constant array of longs. One text literal folds into it, whatever its length."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def constant(values: list[int], kind: str = "bigint") -> Column:
+    """A constant array of whole numbers. One text literal folds into it, whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def place(column: Column, starts: list[int]) -> Column:
+def place(column: Column, starts: list[int], kind: str = "bigint") -> Column:
     """Index of the last of the ascending ``starts`` at or below the column (0 below all), by halving."""
-    listed, top = constant(starts), (len(starts) - 1).bit_length()
+    listed, top = constant(starts, kind), (len(starts) - 1).bit_length()
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(top))]).cast("array<int>")
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(listed, at + step) <= column, step).otherwise(0))
 

@@ -104,6 +104,22 @@ def test_sharding(hard, hard_rows):
     assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
 
 
+def test_sharding_without_ids(spark):
+    """Texts without an id are groups of their own; copies of one stay together."""
+    docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("z" * 100), (F.col("id") % 700).cast("string")).alias("text"))
+    for blocks in (16, sharding.BLOCKS):
+        rows = sharding.shard_documents(docs, 8, blocks).collect()
+        sizes = check_shards(rows, 8)
+        assert len(rows) == 900 and len(sizes) == 8 and max(sizes.values()) < 1.05 * min(sizes.values())
+        shard_of = {}
+        for r in rows:
+            shard_of.setdefault(r["text_crc32"], set()).add(r["shard"])
+        assert all(len(v) == 1 for v in shard_of.values())
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    sizes = check_shards(sharding.shard_documents(nameless, 8, 16).collect(), 8)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.05 * min(sizes.values())
+
+
 def test_sharding_even_sizes(spark):
     docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), (F.col("id") % 97).cast("int")).alias("text")).withColumn("text", F.concat("text", F.col("doc_id").cast("string")))
     sizes = check_shards(sharding.shard_documents(docs, blocks=512).collect(), 40)
