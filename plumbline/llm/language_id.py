@@ -53,6 +53,9 @@ def _codes(text: str) -> tuple[np.ndarray, bool]:
     letter = np.ones(len(codes), dtype=bool)
     low = codes < 1 << 16
     letter[low] = _letters()[codes[low]]
+    if not low.all():
+        distinct, at = np.unique(codes[~low], return_inverse=True)
+        letter[~low] = np.array([chr(c).isalpha() for c in distinct.tolist()])[at]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     return np.where(letter, codes, BLANK)[keep].astype(np.uint32), bool(letter.any())

@@ -77,6 +77,18 @@ def test_language_hard_rows(hard, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_letters_beyond_the_first_plane(spark, hard):
+    """Emoji are no letters, letters of the upper planes are."""
+    assert not language_id._codes("\U0001F600 12 !! \U0001F680\U0001F680")[1]
+    assert bytes(language_id._codes("ab\U0001F600\U0001F680cd")[0].astype("u1")) == b"ab cd"
+    assert language_id._codes("\U00020000 \U0001F600")[0].tolist() == [0x20000, 32] and language_id._codes("\U00020000")[1]
+    extra = spark.createDataFrame([(900, "\U0001F600 12 !! \U0001F680", "en"), (901, "\U0001F4A9" * 50, None)], "doc_id long, text string, lang string")
+    docs = hard.select("doc_id", "text", "lang").unionByName(extra)
+    rows = {r["doc_id"]: r for r in language_id.identify(docs).filter("doc_id >= 900").collect()}
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 and r["rejected"] for r in rows.values()) and len(rows) == 2
+    assert language_id.keep_identified(docs).filter("doc_id >= 900").count() == 0
+
+
 def test_secret_base_spans(hard, hard_rows):
     rows = {r["doc_id"]: r for r in secrets.find_secrets(hard).filter("doc_id IS NOT NULL").collect()}
     text = next(r[1] for r in hard_rows if r[0] == 180)
