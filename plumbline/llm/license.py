@@ -1,8 +1,10 @@
 """License recognition by sentence rules.
 
-A text is cut into sentences, each normalised (lower case, punctuation and blanks
-folded, years and holders of copyright lines replaced) and looked up among known
-licence sentences. The sequence of identifiers is then matched against licence
+A text is cut into pieces at stops and line ends, each normalised (lower case,
+punctuation and blanks folded, list marks dropped, years and holders of copyright
+lines replaced). The longest run of pieces that is a known licence sentence is one
+sentence, so wrapped lines, comment marks and stops inside a sentence don't hide it;
+every other piece is a sentence of its own. The sequence of identifiers is then matched against licence
 rules, ordered sequences of identifiers: at each place the longest rule that fits
 names the licence. Identifiers that no rule takes are reported as unmatched, so a
 changed or partial licence shows.
@@ -24,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A sentence ends at a stop before a blank, or with its line.
+#: A piece ends at a stop before a blank, or with its line.
 END = re.compile(r"(?<=[.!?;:])\s+|\n+")
 FOLD = re.compile(r"[^a-z0-9.]+")
+#: A number or letter that counts the items of a list.
+MARK = re.compile(r"^[^a-z0-9]*(?:\(?(?:[0-9]{1,2}|[a-z])\)|(?:[0-9]{1,2}|[a-z])\.)\s+")
 COPYRIGHT = re.compile(r"^(?:c )?copyright (?:c )?.*$")
 
 # Sentences of published licences and notices.
@@ -83,9 +87,13 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 
+def folded(sentence: str) -> str:
+    return FOLD.sub(" ", MARK.sub("", sentence.lower(), count=1)).strip(" .")
+
+
 def normalised(sentence: str) -> str:
-    folded = FOLD.sub(" ", sentence.lower()).strip(" .")
-    return "copyright" if COPYRIGHT.match(folded) else folded
+    text = folded(sentence)
+    return "copyright" if COPYRIGHT.match(text) else text
 
 
 class LicenseRules:
@@ -94,24 +102,41 @@ class LicenseRules:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES):
         self.known = {normalised(s): name for s, name in sentences.items()} | {"copyright": "copyright"}
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
-        # a sentence's first and last word decide cheaply that it is unknown
-        self.heads = {s.split(" ", 1)[0] for s in self.known}
+        # most pieces begin like no known sentence
+        self.heads: dict[str, list[str]] = {}
+        for sentence in self.known:
+            self.heads.setdefault(sentence.split(" ", 1)[0], []).append(sentence)
 
     def sentences(self, text: str | None) -> Iterator[tuple[int, int, str | None]]:
         """(start, end, identifier or None) of every sentence with letters or digits."""
-        at, text = 0, text or ""
-        for stop in [*END.finditer(text), None]:
-            end = stop.start() if stop else len(text)
-            piece = text[at:end]
-            if any(c.isalnum() for c in piece):
-                yield at, end, self.identify(piece)
-            at = stop.end() if stop else end
-
-    def identify(self, sentence: str) -> str | None:
-        head = FOLD.sub(" ", sentence[:40].lower()).strip(" .").split(" ", 1)[0]
+        at, text, pieces = 0, text or "", []
+        for stop in END.finditer(text):
+            pieces.append((at, stop.start()))
+            at = stop.end()
+        pieces.append((at, len(text)))
+        k = 0
+        while k < len(pieces):
+            start, end = pieces[k]
+            taken = 1
+            if any(c.isalnum() for c in text[start:end]):
+                taken, name = self.identify(text, pieces, k)
+                yield start, pieces[k + taken - 1][1], name
+            k += taken
+
+    def identify(self, text: str, pieces: list[tuple[int, int]], k: int) -> tuple[int, str | None]:
+        """Number of pieces from the k-th on that make the longest known sentence, and its identifier."""
+        start, end = pieces[k]
+        head = folded(text[start : min(end, start + 60)]).split(" ", 1)[0]
         if head not in self.heads and head not in ("c", "copyright"):
-            return None
-        return self.known.get(normalised(sentence))
+            return 1, None
+        found = (1, self.known.get(normalised(text[start:end])))
+        for last in range(k, len(pieces)):
+            run = folded(text[start : pieces[last][1]])
+            if run in self.known and run != "copyright":
+                found = (last - k + 1, self.known[run])
+            if not any(s.startswith(run) for s in self.heads.get(head, ())):
+                break
+        return found
 
     def match(self, names: list[str]) -> tuple[list[tuple[str, int, int]], list[str]]:
         """Licences with their places in the sequence, and the identifiers left."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -162,6 +163,79 @@ def test_licenses(spark):
     assert MIT[a:b].strip().startswith("Permission") and MIT[:b].endswith("SOFTWARE.")
 
 
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width, break_long_words=False), ""])
+
+
+def test_every_rule_finds_its_wrapped_text():
+    rules = license.LicenseRules()
+
+    def found(text):
+        return {name for name, _, _ in rules.match([s[2] for s in rules.sentences(text) if s[2]])[0]}
+
+    published = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "MPL-2.0": MPL, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "ISC": ISC}
+    for name, text in published.items():
+        assert found(text) == {name}
+        for width in (40, 70, 80):
+            for mark in ("", " * ", "# ", "// "):
+                assert found(wrapped(text, width, mark)) == {name}, (name, width, mark)
+    assert found(BSD3.replace("1. ", "(a) ").replace("2. ", "b) ").replace("3. ", "* ")) == {"BSD-3-Clause"}
+    sentence_of = {name: s for s, name in license.SENTENCES.items()} | {"copyright": "Copyright 2001 A B."}
+    for name, ids in license.RULES:
+        text = "\n\n".join(wrapped(sentence_of[i], 72) for i in ids)
+        assert found(text) == {name}, ids
+        assert found("Words before it.\n" + text + "\nand words after it") == {name}, ids
+    start, end = next((a, b) for a, b, name in rules.sentences("x.\n" + GPL) if name == "gpl3-grant")
+    assert ("x.\n" + GPL)[start:end].startswith("This program") and ("x.\n" + GPL)[start:end].endswith("later version.")
+
+
 def test_licenses_hard_rows(hard, empty):
     assert license.scan_licenses(hard).count() == hard.count()
     assert license.scan_licenses(empty).count() == 0
