@@ -1,13 +1,17 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source x language x topic. The cells' token mass is
-raked in turn to the three target marginals until all hold; the ratio of raked to
+raked in turn to the three target marginals until all hold within ``TOLERANCE``. If they
+don't after ``MOST_ROUNDS``, as where empty cells make the targets contradict each other,
+no fit holds: the cells are those of the first ``ROUNDS``, a warning is given, and
+``_margin_error`` is the largest share of all mass by which a margin misses. The ratio of raked to
 found mass is a cell's weight. Inclusion probabilities are proportional to the
 weights, at most one, and scaled so that the expected mass kept is the budget. A
 document is kept if the uniform number that its doc_id hashes to lies below its
 probability, so a rerun keeps the same documents.
 
-Only cells are iterated; documents are read once to fill them and once to be
+Only cells are iterated, on the driver up to ``DRIVER_CELLS`` of them and in Spark
+beyond; documents are read once to fill them and once to be
 sampled, and are joined to the cells without moving them while the cell table is
 small.
 
@@ -20,6 +24,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +38,11 @@ DIMENSIONS = ("source", "lang", "topic")
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}, "topic": 0.7}
 #: Share of the token mass to keep, in expectation.
 BUDGET = 0.5
+#: Rounds that the DuckDB text writes out, and of the fit that is given where none holds.
 ROUNDS = 40
+#: Rounds after which no fit is held to exist.
+MOST_ROUNDS = 20_000
+DRIVER_CELLS = 100_000
 TOLERANCE = 1e-9
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -79,10 +90,27 @@ def _with_targets(cells: DataFrame, targets: dict) -> DataFrame:
     return cells
 
 
-def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with _raked, their mass after fitting; ``cells`` has the dimensions and _mass."""
-    cells = stored(_with_targets(cells, targets).withColumn("_raked", F.col("_mass").cast("double")))
-    for _ in range(rounds):
+def _raked_on_driver(masses: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int) -> tuple[np.ndarray, bool]:
+    """Masses after fitting, and whether all margins hold; ``codes`` number the categories, ``targets`` hold each cell's wanted mass."""
+    raked = early = masses.astype(float)
+    sizes = [int(c.max()) + 1 for c in codes]
+    for done in range(1, rounds + 1):
+        factors = []
+        for code, target, size in zip(codes, targets, sizes):
+            held = np.bincount(code, raked, size)[code]
+            factors.append(np.divide(target, held, out=np.zeros_like(raked), where=held > 0))
+            raked = raked * factors[-1]
+        left = raked > 0
+        if max(float(np.abs(f[left] - 1).max(initial=0.0)) for f in factors) < TOLERANCE:
+            return raked, True
+        if done <= ROUNDS:
+            early = raked
+    return early, False
+
+
+def _raked_in_spark(cells: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    early = cells
+    for done in range(1, rounds + 1):
         step, off = cells, F.lit(0.0)
         for name in DIMENSIONS:
             held = F.sum("_raked").over(Window.partitionBy(f"_{name}"))
@@ -92,8 +120,35 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
         largest = step.agg(F.max(F.when(F.col("_raked") > 0, off))).first()[0]
         cells = step.drop(*[f"_f_{name}" for name in DIMENSIONS])
         if largest is None or largest < TOLERANCE:
-            break
-    return cells
+            return cells, True
+        if done <= ROUNDS:
+            early = cells
+    return early, False
+
+
+def margin_error(cells: DataFrame) -> float:
+    """The largest share of all mass by which a margin of the raked cells misses its target."""
+    whole = cells.agg(F.sum("_mass")).first()[0] or 1
+    misses = [cells.groupBy(f"_{name}").agg((F.sum("_raked") - F.first(f"_t_{name}")).alias("m")).agg(F.max(F.abs("m"))).first()[0] for name in DIMENSIONS]
+    return max(m or 0.0 for m in misses) / whole
+
+
+def rake(cells: DataFrame, targets: dict, rounds: int = MOST_ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """Cells with _raked, their mass after fitting, and _margin_error; ``cells`` has the dimensions and _mass."""
+    cells = stored(_with_targets(cells, targets).withColumn("_raked", F.col("_mass").cast("double")))
+    if cells.count() > driver_cells:
+        cells, holds = _raked_in_spark(cells, rounds)
+    elif rows := sorted(cells.collect(), key=lambda r: [r[f"_{name}"] for name in DIMENSIONS]):
+        codes = [np.unique([r[f"_{name}"] for r in rows], return_inverse=True)[1] for name in DIMENSIONS]
+        wanted = [np.array([r[f"_t_{name}"] for r in rows], dtype=float) for name in DIMENSIONS]
+        raked, holds = _raked_on_driver(np.array([r["_mass"] for r in rows]), codes, wanted, rounds)
+        cells = stored(cells.sparkSession.createDataFrame([(*r[:-1], float(x)) for r, x in zip(rows, raked)], cells.schema))
+    else:
+        return cells.withColumn("_margin_error", F.lit(0.0))
+    error = margin_error(cells)
+    if not holds:
+        warnings.warn(f"raking did not settle: a margin misses its target by {error:.3g} of all mass; do empty cells contradict the targets?", stacklevel=2)
+    return cells.withColumn("_margin_error", F.lit(error))
 
 
 def _scale(cells: DataFrame, budget: float) -> float:

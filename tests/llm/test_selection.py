@@ -1,6 +1,7 @@
 """Decontamination, mixing, sharding and the pipeline."""
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, mixing, sharding
@@ -44,6 +45,36 @@ def test_raked_margins_and_budget(spark):
             assert abs(sum(r["_raked"] for r in raked if r[name] == category) / whole - share) < 1e-6
 
 
+def skewed(spark, rest):
+    """Each source is mostly one language; ``rest`` is the mass of the other cells, which may be missing."""
+    rows = [(s, lang, "p", 100_000 if s == lang else rest) for s in "abc" for lang in "abc" if s == lang or rest]
+    return spark.createDataFrame(rows, "_source string, _lang string, _topic string, _mass long")
+
+
+def test_margins_of_a_skewed_table(spark):
+    """A nearly block-diagonal table needs more than 40 rounds, and all margins hold at the end."""
+    shares = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"a": 0.2, "b": 0.3, "c": 0.5}}
+    targets = {**shares, "topic": 1.0}
+    with pytest.warns(UserWarning, match="did not settle"):
+        assert mixing.rake(skewed(spark, 1), targets, mixing.ROUNDS).first()["_margin_error"] > 1e-5
+    raked = mixing.rake(skewed(spark, 1), targets).collect()
+    whole = sum(r["_mass"] for r in raked)
+    for name, wanted in shares.items():
+        for category, share in wanted.items():
+            assert abs(sum(r["_raked"] for r in raked if r[f"_{name}"] == category) / whole - share) < 1e-6
+    assert raked[0]["_margin_error"] < 1e-6
+    with pytest.warns(UserWarning, match="did not settle"):
+        assert mixing.rake(skewed(spark, 0), targets, 500).first()["_margin_error"] > 0.1
+
+
+def test_raking_in_spark_equals_the_driver(spark):
+    targets = {"source": {"a": 0.4, "b": 0.3, "c": 0.3}, "lang": 0.7, "topic": 1.0}
+    by_driver, by_spark = (sorted(mixing.rake(skewed(spark, 30_000), targets, driver_cells=n).collect()) for n in (100, 0))
+    assert all(a[:3] == b[:3] and abs(a["_raked"] - b["_raked"]) < 1e-3 for a, b in zip(by_driver, by_spark)) and len(by_driver) == len(by_spark) == 9
+    with pytest.warns(UserWarning, match="did not settle"):
+        assert mixing.rake(skewed(spark, 0), {**targets, "lang": {"a": 0.1, "b": 0.1, "c": 0.8}}, 2, driver_cells=0).first()["_margin_error"] > 0.1
+
+
 def test_expected_mass_is_the_budget(hard):
     rows = mixing.mixture(hard).collect()
     mass = sum(r["tokens"] for r in rows)
