@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, fingerprints, language_id, license, line_dedup, mixing, secrets, sharding, simhash, toxicity
+from plumbline.llm import decontamination, fingerprints, language_id, license, line_dedup, merkle, mixing, secrets, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_proofs(table(spark, sf_dir, "documents"))
+
+
 ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_fingerprints": (op2_fingerprints, None),
@@ -70,4 +74,5 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op8_mixing": (op8_mixing, mixing.mixture_sql()),
     "op9_license": (op9_license, None),
     "op10_sharding": (op10_sharding, None),
+    "op11_merkle": (op11_merkle, merkle.PROOFS_SQL),
 }
