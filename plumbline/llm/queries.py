@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, fingerprints, hard_negatives, language_id, license, line_dedup, merkle, mixing, secrets, sharding, simhash, toxicity
+from plumbline.llm import decontamination, fingerprints, hard_negatives, language_id, license, line_dedup, merkle, mixing, secrets, sharding, simhash, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_proofs(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -79,5 +83,6 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op9_license": (op9_license, None),
     "op10_sharding": (op10_sharding, None),
     "op11_merkle": (op11_merkle, merkle.PROOFS_SQL),
+    "op12_suffix_dedup": (op12_suffix_dedup, None),
     "op13_hard_negatives": (op13_hard_negatives, hard_negatives.NEGATIVES_SQL),
 }
