@@ -18,4 +18,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``stored`` that no later step reads."""
+    for table in tables:
+        if table is not None:
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, mixing, sharding
+from test_near_copies import plain_groups, plain_set
 
 
 def unique_rows(hard):
@@ -171,14 +172,18 @@ def test_empty_tables(empty, tests_table):
 
 
 def test_pipeline(spark, tmp_path, sf_dir):
-    from plumbline.llm import language_id, simhash
+    """Every stage's decisions, applied by hand; near copies by brute force over all pairs."""
+    from plumbline.llm import language_id
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     result = corpus_pipeline.run(spark, sf_dir).collect()
-    # the same decisions, each operator's digest applied by hand
     known = {r["doc_id"] for r in language_id.identify(docs).collect() if not r["rejected"]}
     first = docs.filter(F.col("doc_id").isin(sorted(known)))
-    second = {r["doc_id"] for r in simhash.component_rows(first).collect() if r["doc_id"] == r["component_id"]}
+    texts = {r["doc_id"]: plain_set(r["text"]) for r in first.collect()}
+    groups, least = plain_groups(texts.values()), {}
+    for doc_id in sorted(texts):
+        least.setdefault(groups[texts[doc_id]], doc_id)
+    second = set(least.values())
     left = first.filter(F.col("doc_id").isin(sorted(second)))
     bad = {r["doc_id"] for r in decontamination.contamination(left, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect() if r["contaminated"]}
     third = left.filter(~F.col("doc_id").isin(sorted(bad)))
