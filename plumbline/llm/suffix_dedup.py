@@ -214,26 +214,40 @@ def settle(texts: list[bytes], docs: list[int], starts: list[int]) -> tuple[list
 RUNS = "anchor long, run long, doc long, start int, length int, several boolean"
 
 
-def _once(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+#: Rows after which a task hands over what it has gathered.
+GATHERED = 200_000
+
+
+def _once(batch: pd.DataFrame, seen: set) -> Iterator[tuple]:
     """Rows of a task, of a text only the first, with the text's bytes in front.
 
     Rows equal in id and text are copies of a first row too.
     """
-    seen = set()
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            if row.doc not in seen:
-                seen.add(row.doc)
-                yield (row.text or "").encode("utf-8", "surrogatepass"), row
+    for row in batch.itertuples(index=False):
+        if row.doc not in seen:
+            seen.add(row.doc)
+            yield (row.text or "").encode("utf-8", "surrogatepass"), row
 
 
 def _run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    digest = xxhash.xxh64_intdigest
-    for data, row in _once(batches):
-        anchors, starts, lengths, several = runs(data)
-        if len(anchors):
-            content = np.array([digest(data[a:b]) for a, b in zip(starts.tolist(), (starts + lengths).tolist())], dtype="u8")
-            yield pd.DataFrame({"anchor": anchors.view("i8"), "run": content.view("i8"), "doc": row.doc, "start": starts.astype("i4"), "length": lengths.astype("i4"), "several": several})
+    digest, seen = xxhash.xxh64_intdigest, set()
+    for batch in batches:
+        found, rows = [], 0
+        for data, row in _once(batch, seen):
+            anchors, starts, lengths, several = runs(data)
+            if len(anchors):
+                content = np.array([digest(data[a:b]) for a, b in zip(starts.tolist(), (starts + lengths).tolist())], dtype="u8")
+                found.append((anchors.view("i8"), content.view("i8"), np.full(len(anchors), row.doc), starts.astype("i4"), lengths.astype("i4"), several))
+                rows += len(anchors)
+            if rows >= GATHERED:
+                yield _table(found, ["anchor", "run", "doc", "start", "length", "several"])
+                found, rows = [], 0
+        if found:
+            yield _table(found, ["anchor", "run", "doc", "start", "length", "several"])
+
+
+def _table(parts: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({name: np.concatenate(column) for name, column in zip(names, zip(*parts))})
 
 
 def _first_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -305,10 +319,23 @@ def _settle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _settled(pd.concat(waiting, ignore_index=True))
 
 
+PIECES = ["anchor", "chunk", "chunks", "start", "length"]
+
+
 def _run_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for data, row in _once(batches):
-        rows = [(w["anchor"], w["chunk"], w["chunks"], row.doc, w["start"], data[w["start"] : w["start"] + w["length"]]) for w in row.wanted]
-        yield pd.DataFrame(rows, columns=["anchor", "chunk", "chunks", "doc", "start", "data"])
+    seen = set()
+    for batch in batches:
+        found, pieces, size = [], [], 0
+        for data, row in _once(batch, seen):
+            cut = [data[a : a + n] for a, n in zip(row.start.tolist(), row.length.tolist())]
+            found.append((row.anchor, row.chunk, row.chunks, np.full(len(cut), row.doc), row.start))
+            pieces += cut
+            size += sum(map(len, cut))
+            if size >= 16 * SORT_BYTES:
+                yield _table(found, ["anchor", "chunk", "chunks", "doc", "start"]).assign(data=pieces)
+                found, pieces, size = [], [], 0
+        if found:
+            yield _table(found, ["anchor", "chunk", "chunks", "doc", "start"]).assign(data=pieces)
 
 
 def repeated_spans(docs: DataFrame, firsts: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -325,7 +352,7 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame, chunk_bytes: int = CHUNK_
     wanted = F.struct("anchor", F.pmod(F.xxhash64("run"), "chunks").cast("int").alias("chunk"), "chunks", F.col("first.start").alias("start"), "length")
     by_doc = stored(open_kinds.select(F.col("first.doc").alias("doc"), wanted.alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted")).join(firsts, "doc").select("_id", "_h1", "_h2", "doc", "wanted"))
     rows = by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    pieces = _texts(docs, by_doc, rows).select("doc", "text", "wanted").mapInPandas(_run_texts, "anchor long, chunk int, chunks int, doc long, start int, data binary")
+    pieces = _texts(docs, by_doc, rows).select("doc", "text", *[F.col(f"wanted.{c}").alias(c) for c in PIECES]).mapInPandas(_run_texts, "anchor long, chunk int, chunks int, doc long, start int, data binary")
     dealt = pieces.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk")
     found = stored(dealt.mapInPandas(_settle_rows, SETTLED))
     across = Window.partitionBy("w1", "w2").orderBy("doc", "start")
@@ -375,9 +402,10 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for data, row in _once(batches):
-        digest = hashlib.sha256(kept_bytes(data, [(x["start"], x["end"]) for x in row.spans])).hexdigest()
-        yield pd.DataFrame({"doc": [row.doc], "spans": [row.spans], "digest": [digest]})
+    seen = set()
+    for batch in batches:
+        rows = [(row.doc, row.spans, hashlib.sha256(kept_bytes(data, [(x["start"], x["end"]) for x in row.spans])).hexdigest()) for data, row in _once(batch, seen)]
+        yield pd.DataFrame(rows, columns=["doc", "spans", "digest"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
