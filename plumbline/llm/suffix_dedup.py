@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,9 +44,9 @@ PIECE = 32
 #: Strings in one run at most; a longer one (very repetitive text) is cut there.
 RUN_STRINGS = 16_384
 #: Bytes of an anchor's different runs in one task; an anchor with more is dealt in chunks.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 1_000_000
 #: Bytes of runs after which a batch of anchors is sorted.
-SORT_BYTES = 2_000_000
+SORT_BYTES = 1_000_000
 #: Sampled documents, and how many of them make an anchor frequent; at most so many anchors are.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4_000, 8, 50_000
 #: Positions per document at most (a text is one value).
@@ -70,10 +71,18 @@ def _windows(values: np.ndarray, width: int, joined) -> np.ndarray:
     return joined(values[: length - width], values[width - length :]) if length < width else values
 
 
+@lru_cache(maxsize=8)
+def _factors(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte and an odd factor for each doubling."""
+    drawn = _mixed(np.arange(1, 257 + 33, dtype=np.uint64) + np.uint64(seed) * _A)
+    return drawn[:256], drawn[256:] | np.uint64(1)
+
+
 def piece_hashes(data: bytes, width: int, seed: int = 1) -> np.ndarray:
     """64-bit hashes of all pieces of a width."""
-    start = _mixed(np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(seed) * _A)
-    return _mixed(_windows(start, width, lambda a, b: (a ^ (a >> np.uint64(29))) * _A + b))
+    bytewise, factors = _factors(seed)
+    rest = iter(factors)
+    return _mixed(_windows(bytewise[np.frombuffer(data, dtype=np.uint8)], width, lambda a, b: a * next(rest) + b))
 
 
 def runs(data: bytes) -> tuple[np.ndarray, ...]:
@@ -114,13 +123,17 @@ def prefix_ranks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple
     places, longest, length = np.arange(count), max(map(len, texts), default=0), SYMBOLS
     levels = [(1, symbols[:count].astype(np.int32))]
     while True:
-        values, rank = np.unique(word, return_inverse=True)
-        levels.append((length, rank.astype(np.int32)))
-        if length >= longest or len(values) == count:
+        order = np.argsort(word)
+        new = np.diff(word[order], prepend=-1) > 0
+        kinds = int(new.sum())
+        rank = np.empty(count, dtype=np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32) - 1
+        levels.append((length, rank))
+        if length >= longest or kinds == count:
             return starts, ends, levels
         later = places + length
         rest = np.where(later < ends, rank[np.minimum(later, count - 1)] + 1, 0)
-        word = rank * (len(values) + 1) + rest
+        word = rank * np.int64(kinds + 1) + rest
         length *= 2
 
 
@@ -146,7 +159,17 @@ def repeat_groups(order: np.ndarray, prefixes: np.ndarray, keys: np.ndarray, bef
     settled = np.zeros(len(order), dtype=bool)
     deep = prefixes >= least
     edges = np.flatnonzero(np.diff(np.concatenate([[False], deep[1:], [False]]).astype(np.int8)))
-    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
+    firsts, lasts = edges[::2], edges[1::2]
+    # most intervals are pairs, which need no stack
+    pair = firsts[lasts - firsts == 1]
+    swap = keys[order[pair]] > keys[order[pair + 1]]
+    later = np.where(swap, pair, pair + 1)
+    settled[later] = True
+    apart = (before[order[pair]] != before[order[pair + 1]]) | (before[order[pair]] == -1)
+    groups += zip(prefixes[pair + 1][apart].tolist(), pair[apart].tolist(), (pair[apart] + 1).tolist())
+    covered += zip(order[later[apart]].tolist(), prefixes[pair + 1][apart].tolist())
+    more = lasts - firsts > 1
+    for first, last in zip(firsts[more].tolist(), lasts[more].tolist()):
         early, bytes_before, steps = keys[order[first : last + 1]].tolist(), before[order[first : last + 1]].tolist(), prefixes[first + 1 : last + 1].tolist()
         stack: list[list] = []
 
@@ -215,7 +238,7 @@ RUNS = "anchor long, run long, doc long, start int, length int, several boolean"
 
 
 #: Rows after which a task hands over what it has gathered.
-GATHERED = 200_000
+GATHERED = 100_000
 
 
 def _once(batch: pd.DataFrame, seen: set) -> Iterator[tuple]:
