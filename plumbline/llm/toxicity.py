@@ -1,19 +1,21 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training counts, on a bounded sample of labelled documents, in how many toxic and
-clean documents a token occurs. A token's probability of being toxic has a
-Dirichlet prior whose mean is that of its prefix (three to six characters, each
-with the shorter one as its prior and the base rate at the root), so inflections
-that were never seen fall back on their stem. The score of a token is the change
-in log-odds against the base rate; changes of no significance count as a small
-fixed loss, so that the score drifts down over ordinary text.
+Training counts, on a bounded sample of labelled documents, how often a token occurs in
+toxic and in clean ones (a document counts a token at most ``BURST`` times). A token's
+probability of being toxic has a Dirichlet prior whose mean is that of its prefix (three
+to eight characters, each with the shorter one as its prior and the base rate at the
+root), so inflections that were never seen fall back on their stem. The score of a
+token is the change in log-odds against the base rate, less a constant drift, so that
+ordinary text loses and weak evidence still counts for what it is.
 
 Every document is scanned once, in linear time, for all maximal-scoring segments.
 Segment scores are brought to a common scale by extreme-value statistics: lambda
 solves E[exp(lambda s)] = 1 over the tokens of clean documents and K is fitted to
 their largest segments. The best sum statistic over the segments gives the
-document's p-value, and a logistic link, fitted on documents that the counts never
-saw, turns its negative logarithm into a probability.
+document's p-value: several passages of a word that clean texts use once weigh more than
+their parts. Where no segment stands out, the reduced score of the best one, or of the best token,
+orders the document below those. A logistic link, fitted on documents that the counts never
+saw, turns this evidence into a probability.
 
 Copies would count a passage many times: of sampled documents of one class that
 share their least shingle hash only one is used.
@@ -43,16 +45,16 @@ from plumbline.llm.store import stored
 #: Documented bounds of the fit: labelled rows of each class, in expectation, and token and prefix counts kept.
 PER_CLASS = 8_000
 MOST_NODES = 200_000
-#: Documents that a token or prefix must occur in.
+#: Occurrences that a token or prefix must have.
 LEAST_SEEN = 2
-PREFIXES = (3, 4, 5, 6)
-#: Weight of the prior, in documents.
-PRIOR = 2.0
-#: Standard errors that a share must differ from the base rate by.
-SIGNIFICANT = 4.0
-LOSS = -0.25
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Occurrences of a token or prefix that one document counts at most.
+BURST = 5
+#: Weight of the prior, in occurrences.
+PRIOR = 8.0
+DRIFT = 0.5
 MOST_SCORE = 8.0
-MOST_EVIDENCE = 200.0
+MOST_EVIDENCE, LEAST_EVIDENCE = 200.0, -50.0
 CUTOFF = 0.3
 TOKEN = re.compile(r"\w+")
 
@@ -72,14 +74,14 @@ class Prefixes(dict):
     def __missing__(self, prefix: str) -> float:
         if len(self) > 500_000:
             self.clear()
-        found = self[prefix] = self.model.score_from(*self.model.prefix_mean(prefix))
+        found = self[prefix] = self.model.score_from(self.model.prefix_mean(prefix))
         return found
 
 
 @dataclass
 class ToxicityModel:
-    counts: dict[str, tuple[int, int]]  # node -> toxic, clean documents
-    documents: tuple[int, int]
+    counts: dict[str, tuple[int, int]]  # node -> toxic, clean occurrences
+    totals: tuple[int, int]  # of all tokens
     rate: float = 0.0  # toxic share of all labels
     scale: float = 1.0  # lambda
     search: float = 1.0  # K
@@ -89,52 +91,63 @@ class ToxicityModel:
     def __post_init__(self):
         for node, (toxic, clean) in self.counts.items():
             if not node.endswith("*"):
-                mean, _ = self.prefix_mean(node[: PREFIXES[-1]])
-                self.known[node] = self.score_from((toxic + PRIOR * mean) / (toxic + clean + PRIOR), toxic + clean)
+                mean = self.prefix_mean(node[: PREFIXES[-1]])
+                self.known[node] = self.score_from((toxic + PRIOR * mean) / (toxic + clean + PRIOR))
         self.prefixes = Prefixes(self)
 
-    def prefix_mean(self, prefix: str) -> tuple[float, int]:
-        """Probability of a prefix, each length with the shorter one as its prior, and the documents seen."""
-        mean, seen = self.documents[0] / sum(self.documents), 0
+    def prefix_mean(self, prefix: str) -> float:
+        """Probability of a prefix, each length with the shorter one as its prior."""
+        mean = self.totals[0] / sum(self.totals)
         for n in PREFIXES:
             toxic, clean = self.counts.get(prefix[:n] + "*", (0, 0)) if len(prefix) >= n else (0, 0)
-            if toxic + clean:
-                mean, seen = (toxic + PRIOR * mean) / (toxic + clean + PRIOR), toxic + clean
-        return mean, seen
-
-    def score_from(self, mean: float, seen: int) -> float:
-        if not seen:
-            return LOSS
-        base = self.documents[0] / sum(self.documents)
+            mean = (toxic + PRIOR * mean) / (toxic + clean + PRIOR)
+        return mean
+
+    def score_from(self, mean: float) -> float:
+        base = self.totals[0] / sum(self.totals)
         change = math.log(mean / (1 - mean)) - math.log(base / (1 - base))
-        # a score test: the spread is that of the base rate, as the estimate's own vanishes near 0 and 1
-        apart = abs(mean - base) * math.sqrt(seen) > SIGNIFICANT * math.sqrt(base * (1 - base))
-        return max(LOSS * 4, min(MOST_SCORE, change)) if apart else LOSS
+        return max(-MOST_SCORE, min(MOST_SCORE, change)) - DRIFT
 
     def scores(self, text: str | None) -> np.ndarray:
-        get, rest, size = self.known.get, self.prefixes, PREFIXES[-1]
-        return np.array([rest[t[:size]] if (s := get(t)) is None else s for t in TOKEN.findall((text or "").lower())], dtype=float)
+        get, rest, size, times = self.known.get, self.prefixes, PREFIXES[-1], Counter()
+        found = []
+        for token in map(str.lower, TOKEN.findall(text or "")):
+            score = get(token)
+            if score is None:
+                score = rest[token[:size]]
+            if score > 0:
+                times[token] += 1
+                score = score if times[token] <= BURST else -DRIFT
+            found.append(score)
+        return np.array(found, dtype=float)
 
     def evidence(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Negative log p-value of the whole text, and its segments by token."""
+        """Negative log p-value of the whole text (below zero: how far its best segment or token falls short), and its segments by token."""
         scores = self.scores(text)
+        if not len(scores):
+            return LEAST_EVIDENCE, []
         found = maximal_segments(scores)
-        if not found:
-            return 0.0, []
         shift = math.log(max(1.0, self.search * len(scores)))
-        best, total = 0.0, 0.0
-        for r, value in enumerate(sorted((s for *_, s in found), reverse=True), 1):
+        ordered = sorted((s for *_, s in found), reverse=True) or [float(scores.max())]
+        best, total = self.scale * ordered[0] - shift, 0.0
+        for r, value in enumerate(ordered, 1):
             total += self.scale * value - shift
             if total <= 0:
                 break
-            # Karlin and Altschul's tail of the r best segments' sum, with a factor for choosing r
+            # Karlin and Altschul's tail of the r best segments' sum, with a factor for choosing r; it holds
+            # for sums that are large beside r, where it is below the sum itself
             tail = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2)
-            best = max(best, tail)
-        return min(best, MOST_EVIDENCE), found
+            best = max(best, min(tail, total - r * math.log(2)))
+        return max(LEAST_EVIDENCE, min(best, MOST_EVIDENCE)), found
 
     def probability(self, evidence: float) -> float:
         slope, shift = self.link
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log1p(evidence) + shift))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * reduced(evidence) + shift))))
+
+
+def reduced(evidence: float) -> float:
+    """Evidence on the link's scale: logarithmic on both sides of zero."""
+    return math.copysign(math.log1p(abs(evidence)), evidence)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -174,11 +187,15 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _node_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents that hold each token and prefix, summed over the task's batches."""
+    """Occurrences of each token and prefix, bounded by document, summed over the task's batches."""
     counts = {0: Counter(), 1: Counter()}
     for batch in batches:
         for toxic, text in zip(batch["toxic"], batch["text"]):
-            counts[toxic].update({n for t in set(TOKEN.findall(text.lower())) for n in nodes_of(t)})
+            nodes = Counter()
+            for token, times in Counter(map(str.lower, TOKEN.findall(text))).items():
+                for node in nodes_of(token):
+                    nodes[node] += times
+            counts[toxic].update({node: min(times, BURST) for node, times in nodes.items()})
         if len(counts[0]) + len(counts[1]) > 500_000:
             yield _counted(counts)
             counts = {0: Counter(), 1: Counter()}
@@ -224,9 +241,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def _root(values: np.ndarray, counts: np.ndarray) -> float:
-    """lambda in (0, 1] with mean exp(lambda s) = 1; one unseen top score is added to the counts."""
+    """lambda with mean exp(lambda s) = 1; one unseen top score is added to the counts."""
     values, counts = np.append(values, MOST_SCORE), np.append(counts, 1.0)
-    low, high = 1e-3, 1.0
+    low, high = 1e-3, 10.0
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if counts @ np.exp(middle * values) <= counts.sum() else (low, middle)
@@ -235,18 +252,18 @@ def _root(values: np.ndarray, counts: np.ndarray) -> float:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     sample, rate = _sample(docs, labels, per_class)
-    sizes = {(r["j"], r["toxic"]): r["n"] for r in sample.groupBy(_judging().alias("j"), "toxic").agg(F.count("*").alias("n")).collect()}
-    documents = sizes.get((False, 1), 0), sizes.get((False, 0), 0)
-    if not all(documents):
+    counted = sample.filter(~_judging()).select("toxic", "text").mapInPandas(_node_counts, "node string, toxic long, clean long")
+    nodes = stored(counted.groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    row = nodes.filter(~F.col("node").endswith("*")).agg(F.sum("toxic"), F.sum("clean")).first()
+    totals = row[0] or 0, row[1] or 0
+    if not all(totals):
         flat = -20.0 if rate == 0 else math.log(min(rate, 1 - 1e-9) / max(1 - rate, 1e-9))
         return ToxicityModel({}, (1, 1), rate, link=(0.0, flat))
-    counted = sample.filter(~_judging()).select("toxic", "text").mapInPandas(_node_counts, "node string, toxic long, clean long")
-    nodes = counted.groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") + F.col("clean") >= LEAST_SEEN)
-    base = documents[0] / sum(documents)
+    base = totals[0] / sum(totals)
     seen = F.col("toxic") + F.col("clean")
     apart = F.abs(F.col("toxic") - base * seen) / F.sqrt(seen)
-    top = nodes.orderBy(apart.desc(), "node").limit(MOST_NODES).collect()
-    model = ToxicityModel({r["node"]: (r["toxic"], r["clean"]) for r in top}, documents, rate)
+    top = nodes.filter(seen >= LEAST_SEEN).orderBy(apart.desc(), "node").limit(MOST_NODES).collect()
+    model = ToxicityModel({r["node"]: (r["toxic"], r["clean"]) for r in top}, totals, rate)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean_statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +287,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 
     @F.pandas_udf("double")
     def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series([math.log1p(shared.value.evidence(t)[0]) for t in texts], dtype=float)
+        return pd.Series([reduced(shared.value.evidence(t)[0]) for t in texts], dtype=float)
 
     got = judged.select("toxic", evidence("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in got]), np.array([float(r["toxic"]) for r in got])
@@ -290,7 +307,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         rows = []
         for text in texts:
             evidence, segments = shared.value.evidence(text)
-            places = [m.span() for m in TOKEN.finditer(text.lower())] if segments else []
+            places = [m.span() for m in TOKEN.finditer(text)] if segments else []
             rows.append((shared.value.probability(evidence), [(places[a][0], places[b - 1][1], s) for a, b, s in segments]))
         return pd.DataFrame({"score": [r[0] for r in rows], "spans": [[{"start": a, "end": b, "score": s} for a, b, s in r[1]] for r in rows]})
 
