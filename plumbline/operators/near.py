@@ -2,9 +2,9 @@
 
 Both searches rest on the pigeonhole principle. Two 64-bit hashes within
 distance d agree on at least one of d+1 bands; two unit vectors within Euclidean
-distance r are within r/sqrt(m) in at least one of m coordinate blocks. Equal
-bands (or neighbouring cells) are equi-joins, and every hit is verified, so the
-result is exact.
+distance r are within r/sqrt(m) in at least one of m coordinate blocks, which
+metric trees search (``operators.metric``). Equal bands and common leaves are
+equi-joins, and every hit is verified, so the result is exact.
 
 Equal hashes and equal vectors are collapsed to one representative first. A hash
 carried by a third of all rows is then one row here; its members are listed as a
@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import metric
 from plumbline.operators.rows import head_per_group
 from plumbline.session import cut_lineage
 
@@ -214,85 +215,31 @@ def distance_summary(pairs: DataFrame, by: str = "comparison") -> DataFrame:
     )
 
 
-def _cells(block: str, grid_dims: int, width: float, reach: float | None) -> Column:
-    """Cell of the first coordinates of a block; with ``reach`` every cell nearby."""
-    keys = F.array(F.lit("").cast("string"))
-    for i in range(grid_dims):
-        value = F.col(block)[i]
-        if reach is None:
-            spots = F.array(F.floor(value / width))
-        else:
-            spots = F.sequence(F.floor((value - reach) / width), F.floor((value + reach) / width))
-        keys = F.flatten(F.transform(keys, lambda key: F.transform(spots, lambda s: F.concat_ws(",", key, s.cast("string")))))
-    return keys
-
-
-def _blocks(df: DataFrame, dims: int, blocks: int) -> DataFrame:
-    size = dims // blocks
-    parts = [
-        F.struct(F.lit(j).alias("block"), F.slice("e", j * size + 1, size if j < blocks - 1 else dims - j * size).alias("part"))
-        for j in range(blocks)
-    ]
-    return df.select("vid", F.inline(F.array(*parts)))
-
-
-def _squared(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-
-def close_vectors(probes: DataFrame, base: DataFrame, dims: int, radius: float, blocks: int = 8, grid_dims: int = 4) -> DataFrame:
-    """Ordered pairs of unit vectors ``(vid, e)`` within a Euclidean radius.
-
-    Only one block travels through the cell join; whole vectors are fetched for
-    the pairs that are close in that block.
-    """
-    blocks = min(blocks, dims)
-    grid_dims = min(grid_dims, dims // blocks)
-    part = radius / math.sqrt(blocks) * (1 + 1e-9)
-    width = 2.0 * part
-    left = _blocks(probes, dims, blocks).select("block", F.col("vid").alias("va"), F.col("part").alias("pa"), F.explode(_cells("part", grid_dims, width, part)).alias("cell"))
-    right = _blocks(base, dims, blocks).select("block", F.col("vid").alias("vb"), F.col("part").alias("pb"), _cells("part", grid_dims, width, None)[0].alias("cell"))
-    near = left.join(right, ["block", "cell"]).filter(F.col("va") != F.col("vb")).filter(_squared(F.col("pa"), F.col("pb")) <= part * part)
-    pairs = near.select("va", "vb").distinct()
-    full = pairs.join(probes.select(F.col("vid").alias("va"), F.col("e").alias("ea")), "va").join(
-        base.select(F.col("vid").alias("vb"), F.col("e").alias("eb")), "vb"
-    )
-    dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return full.select("va", "vb", dot.alias("cosine")).filter(F.col("cosine") >= 1.0 - radius * radius / 2.0)
-
-
-PASSES = (0.25, 1.0)
-
-
-def knn_cosine(df: DataFrame, unit: str, vector: str, dims: int, k: int, min_cos: float, passes: tuple[float, ...] = PASSES) -> DataFrame:
+def knn_cosine(df: DataFrame, unit: str, vector: str, dims: int, k: int, min_cos: float, leaf: int = metric.LEAF, sample: int = metric.SAMPLE, hot: int = metric.HOT) -> DataFrame:
     """E5: up to k nearest neighbours with cosine of at least ``min_cos``.
 
-    The search widens in passes: a vector that already has k neighbours within
-    a smaller radius is finished, so a dense cluster is not compared pairwise at
-    the full radius. Equal vectors share one entry; of each only the k+1 first
-    ids can be anyone's neighbour.
+    The search is exact (``operators.metric``). A vector is searched no farther than
+    its k-th neighbour of the same leaf, so a dense group is not compared pairwise at the
+    full radius. Equal vectors share one entry; of each only the k+1 first ids can
+    be anyone's neighbour.
     """
     radius = math.sqrt(2.0 - 2.0 * min_cos) * (1 + 1e-9)
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v))
     unit_rows = df.select(F.col(unit).alias("unit"), F.zip_with(vector, F.array_repeat(F.greatest(norm, F.lit(1e-12)), F.size(vector)), lambda v, n: v / n).alias("e"))
-    named = unit_rows.select("unit", "e", F.sha2(F.to_json("e"), 256).alias("vid"))
-    sizes = named.groupBy("vid").agg(F.first("e").alias("e"), F.count(F.lit(1)).alias("n"))
-    firsts = head_per_group(named.select("vid", "unit"), ["vid"], ["unit"], k + 1)
-    base = cut_lineage(sizes)
-    found = base.filter(F.col("n") > 1).select(F.col("vid").alias("va"), F.col("vid").alias("vb"), F.lit(1.0).alias("cosine"))
-    probes, results = base, found
-    for i, share in enumerate(passes):
-        hits = close_vectors(probes.select("vid", "e"), base.select("vid", "e"), dims, radius * share)
-        if i == len(passes) - 1:
-            results = results.unionByName(hits)
-            break
-        hits = cut_lineage(hits)
-        held = hits.join(base.select(F.col("vid").alias("vb"), F.col("n").alias("nb")), "vb").groupBy("va").agg(F.sum("nb").alias("held"))
-        settled = base.join(held, base["vid"] == held["va"], "left").select("vid", (F.coalesce("held", F.lit(0)) + F.col("n") - 1).alias("held")).filter(F.col("held") >= k)
-        results = results.unionByName(hits.join(settled.select(F.col("vid").alias("va")), "va", "left_semi"))
-        probes = probes.join(settled.select("vid"), "vid", "left_anti")
-    listed = results.join(firsts.select(F.col("vid").alias("vb"), F.col("unit").alias("neighbour")), "vb")
+    named = cut_lineage(unit_rows.select("unit", "e", *[F.xxhash64(F.lit(seed), F.to_json("e")).alias(f"_v{seed}") for seed in (1, 2)]))
+    vid = ["_v1", "_v2"]
+    sizes = named.groupBy(*vid).agg(F.first("e").alias("e"), F.count(F.lit(1)).alias("n"))
+    base = cut_lineage(sizes.withColumn("node", F.monotonically_increasing_id()))
+    units = cut_lineage(named.join(base.select(*vid, "node"), vid).select("node", "unit"))
+    forest = metric.fit_forest(base.select("node", "e"), dims, leaf, sample, hot)
+    pairs = metric.close_pairs(metric.local_radius(base, forest, dims, k, radius), forest, dims)
+    full = pairs.join(base.select(F.col("node").alias("va"), F.col("e").alias("ea")), "va").join(base.select(F.col("node").alias("vb"), F.col("e").alias("eb")), "vb")
+    dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    hits = full.select("va", "vb", dot.alias("cosine")).filter(F.col("cosine") >= min_cos)
+    own = base.filter(F.col("n") > 1).select(F.col("node").alias("va"), F.col("node").alias("vb"), F.lit(1.0).alias("cosine"))
+    firsts = head_per_group(units, ["node"], ["unit"], k + 1)
+    listed = hits.unionByName(own).join(firsts.select(F.col("node").alias("vb"), F.col("unit").alias("neighbour")), "vb")
     shortlist = head_per_group(listed, ["va"], [F.desc("cosine"), "neighbour"], k + 1).select("va", "neighbour", "cosine")
-    members = named.select(F.col("vid").alias("va"), "unit").join(shortlist, "va").filter(F.col("unit") != F.col("neighbour"))
+    members = units.select(F.col("node").alias("va"), "unit").join(shortlist, "va").filter(F.col("unit") != F.col("neighbour"))
     ranked = head_per_group(members.select("unit", "neighbour", "cosine"), ["unit"], [F.desc("cosine"), "neighbour"], k)
     return ranked.filter(F.col("cosine") >= min_cos)
