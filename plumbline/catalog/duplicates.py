@@ -98,8 +98,9 @@ def q_review_batch(spark, sf):
 
 
 def comparison_pairs(spark, sf):
-    pairs = near.hamming_pairs(hashed(spark, sf), "sample_id", phash(), 5)
-    return pairs.withColumn("comparison", F.concat(F.lit("d"), F.col("distance") % 2))
+    """The 15 closest pairs of each two splits; ids of train_val are dealt to three of them."""
+    dealt = F.when(F.col("part") == "test", "test").when(F.col("vec_id") % 10 < 8, "train").when(F.col("vec_id") % 10 == 8, "val").otherwise("calibration")
+    return near.compare_splits(hashed(spark, sf).withColumn("split", dealt), "split", "sample_id", phash(), 15)
 
 
 def q_head_per_group(spark, sf):
@@ -107,8 +108,7 @@ def q_head_per_group(spark, sf):
 
 
 def q_distance_summary(spark, sf):
-    top = rw.head_per_group(comparison_pairs(spark, sf), ["comparison"], ["distance", "id_a", "id_b"], 15)
-    return near.distance_summary(top)
+    return near.distance_summary(comparison_pairs(spark, sf))
 
 
 def label_chain(spark, sf):
@@ -174,7 +174,10 @@ REVIEWS = f"""reviews AS (SELECT a.sample_id||'__'||b.sample_id AS pair_key, a.s
   ' distance '||({DIST})||' ' AS notes FROM h5 a JOIN h5 b ON a.part='test' AND b.part='train_val' AND a.vec_id=b.vec_id+1000000)"""
 CARRY = "cf AS (SELECT c.*, coalesce(trim(r.review_decision),'pending') review_decision, CASE WHEN r.pair_key IS NULL THEN '' ELSE coalesce(trim(r.reviewer),'') END reviewer, CASE WHEN r.pair_key IS NULL THEN '' ELSE coalesce(trim(r.review_date),'') END review_date, coalesce(trim(r.notes),'') notes FROM cands c LEFT JOIN reviews r USING (pair_key))"
 CO = "priority, coalesce(embedding_cosine,-1) DESC, phash_distance, dhash_distance, pair_key"
-COMP = "cmp AS (SELECT *, 'd'||(distance%2) AS comparison FROM pairs)"
+SPLIT = "CASE WHEN part='test' THEN 'test' WHEN vec_id%10<8 THEN 'train' WHEN vec_id%10=8 THEN 'val' ELSE 'calibration' END"
+COMP = f"""sp AS (SELECT *, {SPLIT} AS split FROM h5),
+cmp AS (SELECT a.split||'_vs_'||b.split AS comparison, a.sample_id id_a, b.sample_id id_b, CAST({DIST} AS BIGINT) AS distance
+  FROM sp a JOIN sp b ON (a.split, b.split) IN (('train','val'),('train','calibration'),('train','test'),('val','test')))"""
 HEAD = "SELECT comparison, id_a, id_b, distance FROM (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY distance, id_a, id_b) rn FROM cmp) WHERE rn <= {k}"
 
 
@@ -211,10 +214,10 @@ ENTRIES = {
         q_review_batch,
         with_(*CAND, REVIEWS, CARRY, f"SELECT pair_key, priority, {r6('embedding_cosine')} embedding_cosine FROM (SELECT *, row_number() OVER (ORDER BY {CO}) rn FROM cf WHERE phash_distance >= 2 OR review_decision='pending') WHERE rn BETWEEN 11 AND 20"),
     ),
-    "head_per_group": (q_head_per_group, with_(*BASE, REPS, PAIRS.format(d=5), COMP, HEAD.format(k=5))),
+    "head_per_group": (q_head_per_group, with_(*BASE, COMP, HEAD.format(k=5))),
     "distance_summary": (
         q_distance_summary,
-        with_(*BASE, REPS, PAIRS.format(d=5), COMP, f"SELECT comparison, min(distance) min_distance, median(distance) median_distance, max(distance) max_distance, count(*) n FROM ({HEAD.format(k=15)}) GROUP BY comparison"),
+        with_(*BASE, COMP, f"SELECT comparison, min(distance) min_distance, median(distance) median_distance, max(distance) max_distance, count(*) n FROM ({HEAD.format(k=15)}) GROUP BY comparison"),
     ),
     "validate_reviews": (
         lambda spark, sf: pr.review_violations(reviews(spark, sf)),

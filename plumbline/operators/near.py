@@ -13,8 +13,12 @@ star around the representative.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,16 +177,104 @@ def expand_pairs(pairs: DataFrame, df: DataFrame, unit: str, h: Column) -> DataF
     return both.select("unit_a", "unit_b", "distance")
 
 
-RADII = (3, 7, 15, 31, 63)
+#: Distinct hashes of one side that a task searches at once (512 KB).
+SEARCHED = 65_536
 
 
-def hamming_topk(a: DataFrame, b: DataFrame, unit: str, h: Column, k: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def _sub_codes(count: int) -> list[tuple[int, int]]:
+    """Bands about as long as the count's logarithm, so that a bucket holds few hashes."""
+    return _layout(64, max(2, min(6, 64 // max(10, (count - 1).bit_length()))))
+
+
+def _closest(a: np.ndarray, b: np.ndarray, names_a: np.ndarray, names_b: np.ndarray, k: int, most: int) -> list[tuple[int, int, int]]:
+    """The k closest pairs within ``most`` bits as (distance, index a, index b), ties by name.
+
+    Bands of one side are looked up in sorted bands of the other, first equal ones, then
+    those that differ in one bit, two bits and so on. Once the bands up to some place were
+    tried with s flips and the rest with s - 1, a pair not seen yet differs in s + 1 and s bits there,
+    which ends the search when the k-th pair found is closer.
+    """
+    bands = _sub_codes(max(len(a), len(b)))
+    tables = []
+    for start, width in bands:
+        part = (b >> np.uint64(start)) & np.uint64(_mask(width))
+        order = np.argsort(part, kind="stable")
+        tables.append((order, part[order]))
+    best = [np.zeros(0, dtype=np.int64)] * 3  # distance, a, b
+
+    def add(found_a: np.ndarray, found_b: np.ndarray) -> None:
+        nonlocal best, most
+        distance = np.bitwise_count(a[found_a] ^ b[found_b]).astype(np.int64)
+        close = distance <= most
+        rows = np.concatenate([np.stack(best), np.stack([distance[close], found_a[close], found_b[close]])], axis=1)
+        rows = np.unique(rows, axis=1)
+        order = np.lexsort((names_b[rows[2]], names_a[rows[1]], rows[0]))[:k]
+        best = list(rows[:, order])
+        if len(order) == k:
+            most = min(most, int(best[0][-1]))
+
+    for flips in range(max(w for _, w in bands) + 1):
+        for place, ((start, width), (order, keys)) in enumerate(zip(bands, tables)):
+            if len(bands) * flips + place > most:
+                return list(zip(*(x.tolist() for x in best)))
+            own = (a >> np.uint64(start)) & np.uint64(_mask(width))
+            for bits in itertools.combinations(range(width), flips):
+                wanted = own ^ np.uint64(sum(1 << bit for bit in bits))
+                low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, side="right")
+                hits = high - low
+                at = np.repeat(np.arange(len(a)), hits)
+                offset = np.arange(len(at)) - np.repeat(np.cumsum(hits) - hits, hits)
+                if len(at):
+                    add(at, order[low[at] + offset])
+    return list(zip(*(x.tolist() for x in best)))
+
+
+def _packed_hashes(side: DataFrame, count: int, name: str) -> DataFrame:
+    """Blocks of distinct hashes in one row each: block, hashes (bytes) and first ids."""
+    blocks = max(1, -(-count // SEARCHED))
+    members = F.array_sort(F.collect_list(F.struct("h", F.col("ids")[0].alias("id"))))
+    grouped = side.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).alias(f"block_{name}")).agg(members.alias("m"))
+    return grouped.select(f"block_{name}", F.col("m.h").alias(f"h_{name}"), F.col("m.id").alias(f"id_{name}"))
+
+
+def _searched_pairs(left: DataFrame, right: DataFrame, counts: tuple[int, int], k: int, most: int) -> DataFrame:
+    """Closest k pairs of every two blocks within ``most`` bits: h_a, h_b, distance."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                a, b = (np.asarray(h, dtype=np.int64).view(np.uint64) for h in (row.h_a, row.h_b))
+                ranks = [np.unique(np.asarray(ids, dtype=object), return_inverse=True)[1] for ids in (row.id_a, row.id_b)]
+                found = _closest(a, b, *ranks, k, most)
+                yield pd.DataFrame([(row.h_a[i], row.h_b[j], d) for d, i, j in found], columns=["h_a", "h_b", "distance"])
+
+    partners = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, -(-counts[1] // SEARCHED)) - 1).cast("bigint")))
+    asked = cut_lineage(_packed_hashes(left, counts[0], "a")).withColumn("block_b", partners)
+    joined = asked.join(cut_lineage(_packed_hashes(right, counts[1], "b")), "block_b")
+    return joined.drop("block_a", "block_b").mapInPandas(search, "h_a long, h_b long, distance long")
+
+
+def _equal_band_pairs(left: DataFrame, right: DataFrame, count: int, k: int) -> DataFrame:
+    """Closest k pairs of hashes that agree on a band: h_a, h_b, distance, first ids. Complete below as many bits as there are bands."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        bands = F.array(*[F.struct(F.lit(i).alias("band"), _band(F.col("h"), s, w).alias("value")) for i, (s, w) in enumerate(_sub_codes(count))])
+        return df.select(F.col("h").alias(f"h_{name}"), F.col("ids")[0].alias(f"first_{name}"), F.inline(bands))
+
+    joined = side(left, "a").join(side(right, "b"), ["band", "value"])
+    first = _first_zero(F.col("h_a").bitwiseXOR(F.col("h_b")), _sub_codes(count))
+    close = hamming(F.col("h_a"), F.col("h_b")).cast("bigint").alias("distance")
+    return joined.filter(F.col("band") == first).select("h_a", "h_b", close, "first_a", "first_b").orderBy("distance", "first_a", "first_b").limit(k)
+
+
+def hamming_topk(a: DataFrame, b: DataFrame, unit: str, h: Column, k: int) -> DataFrame:
     """The k closest pairs of two sides, by (distance, id_a, id_b).
 
-    The radius grows until it holds k pairs; a large table has its k closest
-    pairs at a small radius, a small table is cheap at any radius. Of equal
-    hashes only the k first ids can take part, and of the hash pairs only the k
-    first by their best pair, so the expansion is bounded by k alone.
+    Bands about as long as the logarithm of the hashes are joined first, which is
+    complete below as many bits as there are bands. Only where k pairs aren't that close
+    are blocks of hashes searched best first (``_closest``), none farther than the
+    k-th pair known; a pair of blocks returns k rows. Of equal hashes only the k
+    first ids can take part, so the expansion is bounded by k alone.
     """
 
     def side(df):
@@ -192,19 +284,37 @@ def hamming_topk(a: DataFrame, b: DataFrame, unit: str, h: Column, k: int, hot_b
         return sizes.join(first, "h")
 
     left, right = cut_lineage(side(a)), cut_lineage(side(b))
-    possible = left.agg(F.sum("n")).first()[0] or 0
-    possible *= right.agg(F.sum("n")).first()[0] or 0
-    found = None
-    for radius in RADII:
-        found = _distinct_pairs(left, right, radius, hot_bucket)
-        held = found.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0
-        if held >= min(k, possible):
-            break
-    best = found.withColumn("_a", F.col("ids_a")[0]).withColumn("_b", F.col("ids_b")[0]).orderBy("distance", "_a", "_b").limit(k)
+    counts = left.count(), right.count()
+    count = max(1, *counts)
+    found = _equal_band_pairs(left, right, count, k).drop("first_a", "first_b")
+    found = cut_lineage(found)
+    held = found.agg(F.count(F.lit(1)), F.max("distance")).first()
+    known = held[1] if held[0] == k else 64
+    if known >= len(_sub_codes(count)) and all(counts):
+        found = _searched_pairs(left, right, counts, k, known)
+    named = found.join(left.select(F.col("h").alias("h_a"), F.col("ids").alias("ids_a")), "h_a").join(right.select(F.col("h").alias("h_b"), F.col("ids").alias("ids_b")), "h_b")
+    best = named.withColumn("_a", F.col("ids_a")[0]).withColumn("_b", F.col("ids_b")[0]).orderBy("distance", "_a", "_b").limit(k)
     units = best.withColumn("id_a", F.explode("ids_a")).withColumn("id_b", F.explode("ids_b"))
     return units.select("id_a", "id_b", "distance").orderBy("distance", "id_a", "id_b").limit(k)
 
 
+#: The pairs of splits that are compared.
+COMPARISONS = [("train", "val"), ("train", "calibration"), ("train", "test"), ("val", "test")]
+
+
+def compare_splits(df: DataFrame, split: str, unit: str, h: Column, k: int, comparisons: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The k closest pairs of each two splits: comparison, id_a, id_b, distance."""
+    df = cut_lineage(df)
+    parts = []
+    for one, other in comparisons or COMPARISONS:
+        pairs = hamming_topk(df.filter(F.col(split) == one), df.filter(F.col(split) == other), unit, h, k)
+        parts.append(pairs.select(F.lit(f"{one}_vs_{other}").alias("comparison"), "id_a", "id_b", "distance"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def distance_summary(pairs: DataFrame, by: str = "comparison") -> DataFrame:
     """spread of the distances per comparison (of a top-k table of unit pairs)."""
     return pairs.groupBy(by).agg(

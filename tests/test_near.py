@@ -191,3 +191,40 @@ def test_compared_pairs_stay_flat(spark):
                 assert (i, j) in found and (j, i) in found
         base.unpersist()
     assert max(shares) < 1 and shares[1] < 2 * shares[0] + 0.05
+
+
+@pytest.mark.parametrize(("k", "count"), [(1, 300), (25, 300), (40, 2_000)])
+def test_closest_of_scattered_hashes(k, count):
+    """Hashes without near pairs: the best-first search agrees with all distances, ties by name."""
+    rng = np.random.default_rng(k)
+    a, b = (rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, count, dtype=np.uint64) for _ in range(2))
+    names = rng.permutation(count), rng.permutation(count)
+    distance = np.bitwise_count(a[:, None] ^ b[None]).astype(int)
+    want = sorted((int(distance[i, j]), int(names[0][i]), int(names[1][j])) for i, j in zip(*np.nonzero(distance <= np.partition(distance.ravel(), k)[k])))[:k]
+    assert [(d, int(names[0][i]), int(names[1][j])) for d, i, j in near._closest(a, b, *names, k, 64)] == want
+
+
+def test_topk_over_several_blocks(spark, monkeypatch):
+    """Blocks of 50 hashes against each other; few rows come back from each two."""
+    monkeypatch.setattr(near, "SEARCHED", 50)
+    rng = np.random.default_rng(4)
+    values = [int(v) for v in rng.integers(-(1 << 62), 1 << 62, 400)]
+    df = spark.createDataFrame([(f"v{i:03d}", v) for i, v in enumerate(values)], "id string, h long")
+    want = sorted(((values[i] ^ values[j]) % (1 << 64)).bit_count() * 10**8 + i * 10**4 + j for i in range(200) for j in range(200, 400))[:30]
+    got = near.hamming_topk(df.filter("id < 'v200'"), df.filter("id >= 'v200'"), "id", F.col("h"), 30).collect()
+    assert [r.distance * 10**8 + int(r.id_a[1:]) * 10**4 + int(r.id_b[1:]) for r in got] == want
+
+
+def test_topk_of_an_empty_side(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "id string, h long")
+    assert near.hamming_topk(df, df.limit(0), "id", F.col("h"), 5).collect() == []
+
+
+def test_compare_splits(spark, hashes):
+    values, df = hashes
+    dealt = df.withColumn("split", F.element_at(F.array(*map(F.lit, ("train", "val", "calibration", "test"))), F.substring("id", 2, 3).cast("int") % 4 + 1))
+    got = near.compare_splits(dealt, "split", "id", F.col("h"), 6).collect()
+    for one, other in near.COMPARISONS:
+        left, right = (("train", "val", "calibration", "test").index(x) for x in (one, other))
+        want = sorted(((values[i] ^ values[j]).bit_count(), f"v{i:03d}", f"v{j:03d}") for i in range(left, len(values), 4) for j in range(right, len(values), 4))[:6]
+        assert sorted((r.distance, r.id_a, r.id_b) for r in got if r.comparison == f"{one}_vs_{other}") == want
