@@ -285,10 +285,10 @@ def _first_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, stored(ranked(firsts, ["_id", "_h1", "_h2"]).select("_id", "_h1", "_h2", "_place", F.col("idx").alias("doc")))
 
 
-def _texts(docs: DataFrame, chosen: DataFrame, rows: int) -> DataFrame:
-    """Texts of chosen first rows; ``chosen`` has _id, _h1, _h2 and what is to stand beside the text."""
+def _texts(docs: DataFrame, chosen: DataFrame, rows: int, width: int = 32) -> DataFrame:
+    """Texts of chosen first rows; ``chosen`` has _id, _h1, _h2 and what is to stand beside the text, ``rows`` x ``width`` bytes."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), *text_key(docs["text"]), "text")
-    return keyed.join(broadcast_if_small(chosen, rows), ["_id", "_h1", "_h2"])
+    return keyed.join(broadcast_if_small(chosen, rows, width), ["_id", "_h1", "_h2"])
 
 
 def _shared_runs(docs: DataFrame, firsts: DataFrame, count: int) -> DataFrame:
@@ -374,8 +374,9 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame, chunk_bytes: int = CHUNK_
     open_kinds = kinds.join(different.select("anchor", chunks.alias("chunks")), "anchor")
     wanted = F.struct("anchor", F.pmod(F.xxhash64("run"), "chunks").cast("int").alias("chunk"), "chunks", F.col("first.start").alias("start"), "length")
     by_doc = stored(open_kinds.select(F.col("first.doc").alias("doc"), wanted.alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted")).join(firsts, "doc").select("_id", "_h1", "_h2", "doc", "wanted"))
-    rows = by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    pieces = _texts(docs, by_doc, rows).select("doc", "text", *[F.col(f"wanted.{c}").alias(c) for c in PIECES]).mapInPandas(_run_texts, "anchor long, chunk int, chunks int, doc long, start int, data binary")
+    # a document: its keys and number and two array heads; a run: 24 bytes
+    size = by_doc.agg(F.sum(64 + 24 * F.size("wanted"))).first()[0] or 0
+    pieces = _texts(docs, by_doc, size, 1).select("doc", "text", *[F.col(f"wanted.{c}").alias(c) for c in PIECES]).mapInPandas(_run_texts, "anchor long, chunk int, chunks int, doc long, start int, data binary")
     dealt = pieces.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk")
     found = stored(dealt.mapInPandas(_settle_rows, SETTLED))
     across = Window.partitionBy("w1", "w2").orderBy("doc", "start")
@@ -403,9 +404,9 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
         return pd.Series([[{"start": a, "end": b} for a, b in _merged(np.array([x["start"] for x in f], dtype="i8"), np.array([x["length"] for x in f], dtype="i8"))] for f in found])
 
     merged = stored(packed.select("doc", union("found").alias("spans")).join(firsts, "doc").select("_id", "_h1", "_h2", "doc", "spans"))
-    size = merged.agg(F.sum(F.size("spans"))).first()[0] or 0
+    size = merged.agg(F.sum(64 + 16 * F.size("spans"))).first()[0] or 0
 
-    changed = stored(_texts(docs, merged, size).select("doc", "text", "spans").mapInPandas(_kept_rows, KEPT).dropDuplicates(["doc"]))
+    changed = stored(_texts(docs, merged, size, 1).select("doc", "text", "spans").mapInPandas(_kept_rows, KEPT).dropDuplicates(["doc"]))
     first = F.col("_place") == F.col("_first")
     named = rows.join(firsts.select("_h1", "_h2", "doc", F.col("_place").alias("_first")), ["_h1", "_h2"]).join(changed, "doc", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))

@@ -26,9 +26,9 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(whole).alias("_h1"), F.xxhash64(F.lit(1), whole).alias("_h2")]
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a counted narrow table below BROADCAST_ROWS; larger ones join by shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def broadcast_if_small(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """Broadcast a counted narrow table below BROADCAST_ROWS rows of 64 bytes (``width``: bytes of a row); larger ones join by shuffle."""
+    return F.broadcast(df) if rows * width <= BROADCAST_ROWS * 64 else df
 
 
 def packed(docs: DataFrame, *keys: Column) -> DataFrame:
