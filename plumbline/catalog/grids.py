@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.calibration import base_ctes, ece_ctes, rounded, seg_ctes, IOU
 from plumbline.catalog.ranking import ranked_ctes
-from plumbline.catalog.views import GRID, GRID_IGNORE, PX, r6, with_
+from plumbline.catalog.views import GRID, GRID_IGNORE, MOSAIC, PX, bilinear_axis, r6, with_
 from plumbline.operators import pixels as pxl
 from plumbline.operators import ranking as rk
 from plumbline.operators import regions as rg
@@ -18,7 +18,7 @@ from plumbline.plans import fixtures as fx
 from plumbline.sources import manifests as mf
 
 S = ["sample_id"]
-RADII = [1, 2]
+RADII = [1, 3, 5]
 METHODS = {"raw": 1.0, "clean_global": 2.0}
 
 
@@ -66,11 +66,9 @@ def q_strata_counts(spark, sf):
 
 
 def q_region_calibration(spark, sf):
-    cells = fx.grid_logits(fx.grid(spark, sf, ignore=True))
-    units = rg.region_units(cells.drop("pred", "conf"), S, RADII, 8, METHODS)
-    by = ["radius", "method", "region"]
-    out = rg.region_calibration(units, by)
-    return rounded(out, *[c for c in out.columns if c not in (*by, "pixels")])
+    by = ["condition", "method"]
+    out = rg.region_metrics(rg.method_units(fx.mosaic_units(spark, sf), 8, METHODS), by, RADII)
+    return rounded(out, *[c for c in out.columns if c not in (*by, "radius", "region", "pixels")])
 
 
 def with_part(cells):
@@ -123,20 +121,6 @@ def boundary_cte(radius, src="gridi", name="bnd"):
     return f"""{name} AS (SELECT g.sample_id, g.y, g.x, min(h.label)<>max(h.label) AS boundary FROM {src} g JOIN {src} h ON h.sample_id=g.sample_id AND abs(h.y-g.y)<={radius} AND abs(h.x-g.x)<={radius} GROUP BY g.sample_id, g.y, g.x)"""
 
 
-def axis_sql(n, m):
-    """Rows (t, s, w): bilinear weights from n source to m target positions."""
-    rows = []
-    for t in range(m):
-        source = max((t + 0.5) * n / m - 0.5, 0.0)
-        first = math.floor(source)
-        second = min(first + 1, n - 1)
-        part = source - first
-        rows.append((t, first, 1.0 - part))
-        if part > 0:
-            rows.append((t, second, part))
-    return "(VALUES " + ", ".join(f"({t},{s},{w!r}::DOUBLE)" for t, s, w in rows) + ")"
-
-
 def nearest_sql(n, m):
     return "(VALUES " + ", ".join(f"({t},{math.floor((t + 0.5) * n / m)})" for t in range(m)) + ")"
 
@@ -153,16 +137,15 @@ def blur_axis_sql(n, kernel, sigma):
 
 BLUR7 = blur_axis_sql(8, 7, 1.6)
 REGION_UNITS = [
-    *GI,
-    *[boundary_cte(r, name=f"bnd{r}") for r in RADII],
-    "reg AS (" + " UNION ALL ".join(f"SELECT sample_id, y, x, {r} AS radius, CASE WHEN boundary THEN 'boundary' ELSE 'interior' END AS region FROM bnd{r}" for r in RADII) + ")",
-    "gl AS (SELECT g.*, k, ln(CASE WHEN k=pred THEN conf ELSE (1e0-conf)/7e0 END) z FROM gridi g CROSS JOIN range(8) t(k) WHERE label BETWEEN 0 AND 7)",
+    *MOSAIC,
     "me AS (SELECT * FROM (VALUES ('raw', 1e0), ('clean_global', 2e0)) t(method, temperature))",
-    "gs AS (SELECT *, exp(z/temperature - mx)/sum(exp(z/temperature - mx)) OVER (PARTITION BY sample_id, y, x, method) p FROM (SELECT *, max(z/temperature) OVER (PARTITION BY sample_id, y, x, method) mx FROM gl CROSS JOIN me))",
-    "gu AS (SELECT sample_id, y, x, method, label, pred, CAST(CASE WHEN pred=label THEN 1 ELSE 0 END AS BIGINT) correct, max(p) conf, sum(CASE WHEN k=label THEN p ELSE 0 END) py, sum((p-CASE WHEN k=label THEN 1 ELSE 0 END)*(p-CASE WHEN k=label THEN 1 ELSE 0 END)) brier FROM gs GROUP BY sample_id, y, x, method, label, pred)",
-    "units AS (SELECT gu.*, radius, region, CAST(1-conf AS FLOAT) AS score, 1-correct AS err FROM gu JOIN reg USING (sample_id, y, x))",
+    "gs AS (SELECT *, exp(z/temperature - mx)/sum(exp(z/temperature - mx)) OVER (PARTITION BY img, condition, y, x, method) p FROM (SELECT *, max(z/temperature) OVER (PARTITION BY img, condition, y, x, method) mx FROM up CROSS JOIN me))",
+    "gu AS (SELECT gs.img AS sample_id, gs.condition, gs.method, distance, label, gs.y, gs.x, max(p) conf, sum(CASE WHEN k=label THEN p ELSE 0 END) py, sum((p-CASE WHEN k=label THEN 1 ELSE 0 END)*(p-CASE WHEN k=label THEN 1 ELSE 0 END)) brier FROM gs JOIN dist ON dist.img=gs.img AND dist.y=gs.y AND dist.x=gs.x WHERE label BETWEEN 0 AND 7 GROUP BY ALL)",
+    "units AS (SELECT gu.*, r.radius, CASE WHEN distance<=r.radius THEN 'boundary' ELSE 'interior' END AS region, CAST(1-conf AS FLOAT) AS score, CAST(pred=label AS BIGINT) AS correct, 1-CAST(pred=label AS BIGINT) AS err FROM gu JOIN upp ON upp.img=gu.sample_id AND upp.condition=gu.condition AND upp.y=gu.y AND upp.x=gu.x CROSS JOIN (VALUES "
+    + ", ".join(f"({r})" for r in RADII)
+    + ") r(radius))",
 ]
-RBY = "radius, method, region"
+RBY = "condition, radius, method, region"
 DCT_SCALE = "(CASE WHEN {u}=0 THEN sqrt(1e0/8) ELSE sqrt(2e0/8) END)"
 
 ENTRIES = {
@@ -174,7 +157,7 @@ ENTRIES = {
     ),
     "bilinear_upsample": (
         q_bilinear,
-        with_(*G, f"SELECT g.sample_id, CAST(ty.t AS BIGINT) y, CAST(tx.t AS BIGINT) x, {', '.join(r6(f'sum(ty.w*tx.w*ln(CASE WHEN pred={k} THEN conf ELSE (1e0-conf)/7e0 END))') + f' z{k}' for k in range(8))}, {r6('sum(ty.w*tx.w*v)')} v FROM grid g JOIN {axis_sql(8, 13)} ty(t,s,w) ON ty.s=g.y JOIN {axis_sql(8, 11)} tx(t,s,w) ON tx.s=g.x GROUP BY ALL"),
+        with_(*G, f"SELECT g.sample_id, CAST(ty.t AS BIGINT) y, CAST(tx.t AS BIGINT) x, {', '.join(r6(f'sum(ty.w*tx.w*ln(CASE WHEN pred={k} THEN conf ELSE (1e0-conf)/7e0 END))') + f' z{k}' for k in range(8))}, {r6('sum(ty.w*tx.w*v)')} v FROM grid g JOIN {bilinear_axis(8, 13)} ty(t,s,w) ON ty.s=g.y JOIN {bilinear_axis(8, 11)} tx(t,s,w) ON tx.s=g.x GROUP BY ALL"),
     ),
     "degrade_blur": (
         q_blur,

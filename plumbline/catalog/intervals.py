@@ -43,9 +43,8 @@ def q_clustered(spark, sf):
 
 
 def q_boundary(spark, sf):
-    cells = fx.grid_logits(fx.grid(spark, sf, ignore=True)).drop("pred", "conf")
-    units = rg.region_units(cells, ["sample_id"], RADII, 8, METHODS)
-    table = rg.region_calibration(units, ["radius", "method", "region", "sample_id"])
+    units = rg.method_units(fx.mosaic_units(spark, sf), 8, METHODS)
+    table = rg.region_metrics(units, ["condition", "method", "sample_id"], RADII)
     return rounded(bs.boundary_bootstrap(table, "sample_id", ITERATIONS, SEED), *OUT)
 
 
@@ -96,10 +95,10 @@ CLUSTER = [
     "cd AS (SELECT a.region, a.score_name, a.sample_id, -(a.eaurc-b.eaurc) eaurc, a.error_auprc-b.error_auprc error_auprc, a.top_10_uncertainty_recall-b.top_10_uncertainty_recall top_10_uncertainty_recall FROM cl a JOIN cl b USING (region, sample_id) WHERE b.score_name='score_a')",
     *bootstrap_sql("cd", "region, score_name", "sample_id", ["eaurc", "error_auprc", "top_10_uncertainty_recall"]),
 ]
-RS = "radius, method, region, sample_id"
+RS = "condition, radius, method, region, sample_id"
 REGION_TABLE = [
     *REGION_UNITS, base_ctes(RS), ece_ctes(RS), *ranked_ctes(RS, "units"),
-    f"rt AS (SELECT {RS}, nll, ece, aurc, eaurc FROM base JOIN ece USING ({RS}) JOIN (SELECT {RS}, aurc, eaurc FROM rm) USING ({RS}))",
+    f"rt AS (SELECT radius, method, region, sample_id, avg(nll) nll, avg(ece) ece, avg(aurc) aurc, avg(eaurc) eaurc FROM base JOIN ece USING ({RS}) JOIN (SELECT {RS}, aurc, eaurc FROM rm) USING ({RS}) GROUP BY ALL)",
 ]
 
 

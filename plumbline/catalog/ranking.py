@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog.calibration import rounded
-from plumbline.catalog.views import GRID, PX, SCORED, SCORED_LONG, r6, with_
+from plumbline.catalog.views import GRID, MOSAIC, PX, SCORED, SCORED_LONG, mosaic_scores, r6, with_
 from plumbline.functions.numerics import shuffle_key
 from plumbline.operators import comparisons as cmp
 from plumbline.operators import ranking as rk
@@ -17,6 +17,8 @@ from plumbline.sources import sinks
 
 BY = ["condition", "score_name"]
 SCORES = ["score_a", "score_b", "score_c"]
+# no multiple of V8's logit steps divided by it ends in a half at six digits
+TEMPERATURE = 2.19723
 
 
 def long(spark, sf):
@@ -67,7 +69,8 @@ def q_ranking_per_sample(spark, sf):
 
 
 def q_ranking_all_conditions(spark, sf):
-    return rounded(ev.evaluate_conditions(fx.scored(spark, sf), ["condition"], SCORES), *DOUBLES)
+    """Seven scores x three strata x all conditions, from logits to metrics."""
+    return rounded(ev.evaluate_images(fx.mosaic_units(spark, sf), ["condition"], 8, TEMPERATURE, 3, digits=6), *DOUBLES)
 
 
 def q_score_groups_discrete(spark, sf):
@@ -152,6 +155,7 @@ def metric_sql(by, names, src="scored_long", ctes=(SCORED, SCORED_LONG), final="
 
 ALL = ["pixels", "unique_score_count", "tie_group_count", "largest_tie_group", *DOUBLES]
 STRATA = "strat AS (SELECT * FROM scored_long UNION ALL SELECT event_id, sample_id, condition, 'full', err, score_name, score FROM scored_long)"
+MOSAIC_STRATA = "mstrat AS (SELECT condition, score_name, score, err, unnest(['full', CASE WHEN distance<=3 THEN 'boundary' ELSE 'interior' END]) AS region FROM ms)"
 CURVE = [SCORED, SCORED_LONG, f"rc AS (SELECT {KEY}, event_id, row_number() OVER (PARTITION BY {KEY} ORDER BY score, event_id) AS rank, count(*) OVER (PARTITION BY {KEY}) n, sum(err) OVER (PARTITION BY {KEY} ORDER BY score, event_id ROWS UNBOUNDED PRECEDING) ce FROM scored_long)"]
 
 ENTRIES = {
@@ -171,7 +175,7 @@ ENTRIES = {
     "ranking_metrics_ranged": (q_ranking_split, metric_sql(KEY, ALL)),
     "ranking_by_region": (q_ranking_by_region, metric_sql("condition, score_name, region", ALL, "strat", (SCORED, SCORED_LONG, STRATA))),
     "ranking_per_sample": (q_ranking_per_sample, metric_sql("condition, sample_id, score_name, region", ALL, "strat", (SCORED, SCORED_LONG, STRATA))),
-    "ranking_all_conditions": (q_ranking_all_conditions, metric_sql("condition, score_name, region", ALL, "strat", (SCORED, SCORED_LONG, STRATA))),
+    "ranking_all_conditions": (q_ranking_all_conditions, metric_sql("condition, score_name, region", ALL, "mstrat", (*MOSAIC, *mosaic_scores(TEMPERATURE, 6), MOSAIC_STRATA))),
     "score_groups_discrete": (
         q_score_groups_discrete,
         with_(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.views import GRID, GRID_IGNORE, LOGIT, PX, r6, softmax, units, with_
+from plumbline.catalog.views import GRID, GRID_IGNORE, LOGIT, MOSAIC, PX, mosaic_scores, r6, softmax, units, with_
 from plumbline.functions import softmax as sm
 from plumbline.functions.numerics import r6 as R
 from plumbline.operators.scoring import dot_scores
@@ -62,9 +62,10 @@ def single_score(name):
 
 
 def q_scores_long(spark, sf):
-    wide = q_scores(spark, sf).select("vec_id", "condition", *sm.SCORES)
-    long = sm.long_scores(wide, sm.SCORES)
-    return long.select("vec_id", "condition", "score_name", (F.round(F.col("score").cast("double"), 4) + 0.0).alias("score"))
+    """All seven scores of every valid pixel and condition."""
+    units = sm.uncertainty_scores(sm.valid_units(fx.mosaic_units(spark, sf), 8), 8, T)
+    long = sm.long_scores(units.select("sample_id", "condition", "y", "x", *sm.ALL_SCORES), sm.ALL_SCORES)
+    return long.select("sample_id", "condition", "y", "x", "score_name", (F.round(F.col("score").cast("double"), 4) + 0.0).alias("score"))
 
 
 def q_error_map(spark, sf):
@@ -123,11 +124,6 @@ def score_sql(body):
     return with_(LOGIT, softmax("1e0"), softmax(f"{T}e0", name="cal"), SECOND, RAW, body)
 
 
-LONG_BODY = " UNION ALL ".join(
-    f"SELECT vec_id, condition, '{n}' AS score_name, round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 4) + 0e0 AS score FROM two JOIN raw USING (vec_id, condition)"
-    for n, e in EXPR.items()
-)
-
 ENTRIES = {
     "valid_units": (q_valid_units, with_(PX, GRID, GRID_IGNORE, "SELECT label, count(*) n FROM gridi WHERE label<>255 AND label BETWEEN 0 AND 7 GROUP BY label")),
     "prob_sum_check": (q_prob_sum_check, with_(LOGIT, softmax(), "SELECT condition, count(*) n, max(abs(s-1)) <= 1e-4 AS sums_to_one FROM (SELECT vec_id, condition, sum(p) s FROM soft GROUP BY ALL) GROUP BY condition")),
@@ -138,7 +134,10 @@ ENTRIES = {
         f"score_{n}": (single_score(n), score_sql(f"SELECT vec_id, condition, {r6(e)} AS {n} FROM two JOIN raw USING (vec_id, condition)"))
         for n, e in EXPR.items()
     },
-    "scores_long": (q_scores_long, score_sql(LONG_BODY)),
+    "scores_long": (
+        q_scores_long,
+        with_(*MOSAIC, *mosaic_scores(T, 12), "SELECT img AS sample_id, condition, CAST(y AS INT) y, CAST(x AS INT) x, score_name, round(CAST(score AS DOUBLE), 4) + 0e0 AS score FROM ms"),
+    ),
     "error_map": (
         q_error_map,
         with_(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from plumbline.plans.fixtures import CONDITIONS
 
 
@@ -76,6 +78,45 @@ GRID = """grid AS (SELECT a.vec_id sample_id, CAST(floor(a.pos/8) AS INT) y, CAS
 GRID_IGNORE = """gridi AS (SELECT sample_id, y, x, v, pred, conf,
   CASE WHEN (sample_id*64+pos)%97=0 THEN 255 ELSE label END AS label FROM grid)"""
 
+def bilinear_axis(n: int, m: int) -> str:
+    """Rows (t, s, w): bilinear weights from n source to m target positions."""
+    rows = []
+    for t in range(m):
+        source = max((t + 0.5) * n / m - 0.5, 0.0)
+        first = math.floor(source)
+        part = source - first
+        rows.append((t, first, 1.0 - part))
+        if part > 0:
+            rows.append((t, min(first + 1, n - 1), part))
+    return "(VALUES " + ", ".join(f"({t},{s},{w!r}::DOUBLE)" for t, s, w in rows) + ")"
+
+
+# V8: labels, distance to the next label, upsampled logits and predictions of the mosaic images
+MOSAIC = [
+    PX, COND, GRID, GRID_IGNORE,
+    "mos AS (SELECT sample_id//4 AS img, CAST(((sample_id%4)//2)*8+y AS INT) y, CAST(((sample_id%4)%2)*8+x AS INT) x, label FROM gridi)",
+    "dist AS (SELECT g.img, g.y, g.x, g.label, coalesce(min(greatest(abs(h.y-g.y), abs(h.x-g.x))) FILTER (WHERE h.label<>g.label), 6) AS distance FROM mos g JOIN mos h ON h.img=g.img AND abs(h.y-g.y)<=5 AND abs(h.x-g.x)<=5 GROUP BY ALL)",
+    "low AS (SELECT sample_id//4 AS img, ((sample_id%4)//2)*4+y//2 y, ((sample_id%4)%2)*4+x//2 x, pred, conf FROM grid WHERE y%2=0 AND x%2=0)",
+    "lz AS (SELECT img, y, x, condition, k, round((CASE WHEN x%8 < drop_n THEN 0e0 ELSE gain END)*ln(CASE WHEN k=pred THEN conf ELSE (1e0-conf)/7e0 END), 6) z FROM low CROSS JOIN range(8) t(k) CROSS JOIN cond)",
+    f"up AS (SELECT img, condition, ty.t y, tx.t x, k, round(sum(ty.w*tx.w*z), 10) z FROM lz JOIN {bilinear_axis(8, 16)} ty(t,s,w) ON ty.s=lz.y JOIN {bilinear_axis(8, 16)} tx(t,s,w) ON tx.s=lz.x GROUP BY ALL)",
+    "upp AS (SELECT img, condition, y, x, min(k) FILTER (WHERE z=mz) pred FROM (SELECT *, max(z) OVER (PARTITION BY img, condition, y, x) mz FROM up) GROUP BY img, condition, y, x)",
+    "off3 AS (SELECT a.k dy, b.k dx FROM range(-1,2) a(k) CROSS JOIN range(-1,2) b(k))",
+    "lod AS (SELECT g.img, g.condition, g.y, g.x, g.pred, avg(CASE WHEN h.pred=g.pred THEN 0e0 ELSE 1e0 END) ld FROM upp g CROSS JOIN off3 JOIN upp h ON h.img=g.img AND h.condition=g.condition AND h.y=least(15,greatest(0,g.y+dy)) AND h.x=least(15,greatest(0,g.x+dx)) GROUP BY ALL)",
+]
+
+
+def mosaic_scores(temperature: float, digits: int) -> list[str]:
+    """``ms``: one row per valid pixel, condition and score."""
+    t = f"{temperature!r}::DOUBLE"
+    names = ["raw_msp", "calibrated_msp", "entropy", "probability_margin", "logit_margin", "energy", "local_disagreement"]
+    return [
+        f"mp AS (SELECT *, exp(z-mz)/sum(exp(z-mz)) OVER w p1, exp((z-mz)/{t})/sum(exp((z-mz)/{t})) OVER w p FROM (SELECT *, max(z) OVER (PARTITION BY img, condition, y, x) mz FROM up) WINDOW w AS (PARTITION BY img, condition, y, x))",
+        f"mw AS (SELECT img, condition, y, x, 1-max(p1) raw_msp, 1-max(p) calibrated_msp, -sum(p*ln(greatest(p,1.1920928955078125e-07))) entropy, 1-(list_sort(list(p),'DESC')[1]-list_sort(list(p),'DESC')[2]) probability_margin, -(list_sort(list(z),'DESC')[1]-list_sort(list(z),'DESC')[2])/{t} logit_margin, -(max(z)/{t}+ln(sum(exp((z-mz)/{t})))) energy FROM mp GROUP BY img, condition, y, x)",
+        "mu AS (SELECT mw.*, ld AS local_disagreement, pred, label, distance, CAST(pred<>label AS INT) err FROM mw JOIN lod USING (img, condition, y, x) JOIN dist USING (img, y, x) WHERE label BETWEEN 0 AND 7)",
+        "ms AS (" + " UNION ALL ".join(f"SELECT img, condition, y, x, distance, err, '{n}' AS score_name, CAST(round({n}, {digits}) AS FLOAT) AS score FROM mu" for n in names) + ")",
+    ]
+
+
 SCORED = """scored AS (SELECT event_id, 'u'||user_id AS sample_id, 'c'||(event_id%4) AS condition,
   CASE WHEN event_id%7=0 THEN 'boundary' ELSE 'interior' END AS region,
   CAST(floor(cents/50)/1000e0 AS FLOAT) score_a, CAST((event_id%10)/9e0 AS FLOAT) score_b,

@@ -125,6 +125,8 @@ SCORES = (
     "logit_margin",
     "energy",
 )
+#: With the one that needs neighbours (``operators.images``).
+ALL_SCORES = (*SCORES, "local_disagreement")
 
 
 def _second(items: list[Column], winner: Column) -> Column:

@@ -27,11 +27,34 @@ def with_regions(df: DataFrame, sample: list[str], radii: list[int], classes: in
     return valid_units(marked, classes).select(*df.columns, F.inline(F.array(*rows)))
 
 
-def region_units(df: DataFrame, sample: list[str], radii: list[int], classes: int, methods: dict[str, float]) -> DataFrame:
-    """Unit statistics per (radius, region, method)."""
-    fanned = with_regions(df, sample, radii, classes)
+def method_units(units: DataFrame, classes: int, methods: dict[str, float]) -> DataFrame:
+    """Unit statistics per method (name to temperature)."""
     rows = [F.struct(F.lit(m).alias("method"), F.lit(float(t)).alias("temperature")) for m, t in methods.items()]
-    return unit_stats(fanned.select("*", F.inline(F.array(*rows))), classes, "temperature")
+    return unit_stats(units.select("*", F.inline(F.array(*rows))), classes, "temperature")
+
+
+def _by_radius(groups: DataFrame, radii: list[int], rest: list[str]) -> DataFrame:
+    """Groups by distance, once for every radius with the region they fall into."""
+    region = {r: F.when(F.col("distance") <= r, "boundary").otherwise("interior") for r in radii}
+    rows = [F.struct(F.lit(r).alias("radius"), region[r].alias("region")) for r in radii]
+    return groups.select(*rest, F.inline(F.array(*rows)))
+
+
+def region_metrics(units: DataFrame, by: list[str], radii: list[int]) -> DataFrame:
+    """F13 for all radii: calibration and ranking metrics per (by, radius, region).
+
+    Bins and tie groups are formed per distance to the next label first. Radii
+    regroup those, so they copy groups and not pixels.
+    """
+    own, keys = [*by, "distance"], [*by, "radius", "region"]
+    sums = cal.bin_sums(units, own)
+    totals = [c for c in sums.columns if c not in (*own, "bin")]
+    bins = _by_radius(sums, radii, [*by, "bin", *totals]).groupBy(*keys, "bin").agg(*[F.sum(c).alias(c) for c in totals])
+    merged = cal.merge_bins(bins, keys).select(*keys, "pixels", "nll", "brier_score", "ece", "mean_wrong_confidence")
+    errors = units.select(*own, (1.0 - F.col("conf")).cast("float").alias("score"), (1 - F.col("correct")).alias("err"))
+    groups = _by_radius(rk.score_groups(errors, own), radii, [*by, "score", "w", "e"]).groupBy(*keys, "score").agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
+    ranked = rk.summarize_prefix(rk.prefix_groups(groups, keys), keys).select(*keys, "error_rate", "error_auroc", "aurc", "oracle_aurc", "eaurc")
+    return merged.join(ranked, keys)
 
 
 def region_calibration(units: DataFrame, by: list[str]) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.softmax import unit_stats
+from plumbline.functions.softmax import ALL_SCORES, long_scores, uncertainty_scores, unit_stats, valid_units
 from plumbline.operators import calibration as cal
 from plumbline.operators import ranking as rk
+from plumbline.session import cut_lineage
 
 
 def evaluate_condition_splits(df: DataFrame, by: list[str], unit: str, classes: int, temperature=1.0) -> DataFrame:
@@ -53,11 +54,23 @@ def validate_predictions(df: DataFrame, by: list[str], unit: str, provenance: st
 
 def evaluate_conditions(df: DataFrame, by: list[str], scores: list[str]) -> DataFrame:
     """Every score x stratum x condition in one grouped job."""
-    from plumbline.functions.softmax import long_scores
-
     return rk.ranking_by_region(long_scores(df, scores), [*by, "score_name"])
 
 
+def evaluate_images(units: DataFrame, by: list[str], classes: int, temperature: float, radius: int, digits: int | None = None) -> DataFrame:
+    """G16 from logits: seven scores x strata x conditions of ``operators.images`` units, complete or an error.
+
+    ``digits`` rounds scores before they form ties.
+    """
+    scored = uncertainty_scores(valid_units(units, classes), classes, temperature)
+    region = F.when(F.col("distance") <= radius, "boundary").otherwise("interior")
+    scores = [(F.col(n) if digits is None else F.round(n, digits)).alias(n) for n in ALL_SCORES]
+    wide = scored.select(*by, region.alias("region"), (F.col("pred") != F.col("label")).cast("int").alias("err"), *scores)
+    result = cut_lineage(rk.ranking_by_region(long_scores(wide, ALL_SCORES), [*by, "score_name"]))
+    scopes = result.select(*by).distinct().count() if by else 1
+    return check_complete(result, [*by, "score_name", "region"], scopes * len(ALL_SCORES) * 3)
+
+
 def check_complete(result: DataFrame, keys: list[str], expected_rows: int) -> DataFrame:
     """Exact row count and unique keys, or an error."""
     row = result.groupBy(*keys).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import images
+
 CLASSES = 10
 DIMS = 64
 
@@ -142,6 +144,36 @@ def grid_logits(cells: DataFrame) -> DataFrame:
     return cells.withColumn("logits", F.array(*items))
 
 
+def mosaic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: labels of four V3 grids as one image of 16 x 16, some of them ignored."""
+    tile = F.col("sample_id") % 4
+    y, x = F.floor(tile / 2) * 8 + F.col("y"), (tile % 2) * 8 + F.col("x")
+    return grid(spark, sf_dir, ignore=True).select(F.floor(F.col("sample_id") / 4).alias("sample_id"), y.alias("y"), x.alias("x"), "label")
+
+
+def mosaic_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: logits of every other cell of the same image, 8 x 8, under seven conditions."""
+    cells = grid_logits(grid(spark, sf_dir)).filter((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0))
+    tile = F.col("sample_id") % 4
+    y, x = F.floor(tile / 2) * 4 + F.col("y") / 2, (tile % 2) * 4 + F.col("x") / 2
+    low = cells.select(F.floor(F.col("sample_id") / 4).alias("sample_id"), y.cast("int").alias("y"), x.cast("int").alias("x"), "logits")
+    rows = [F.struct(F.lit(name).alias("condition"), F.lit(drop_n).alias("drop_n"), F.lit(gain).alias("gain")) for name, _, _, drop_n, gain in CONDITIONS]
+    fanned = low.select("*", F.inline(F.array(*rows)))
+    kept = F.when(F.col("x") % 8 < F.col("drop_n"), 0.0).otherwise(F.col("gain"))
+    return fanned.select("sample_id", "condition", "y", "x", F.transform("logits", lambda z: F.round(kept * z, 6)).alias("logits"))
+
+
+#: Farthest distance to another label that V8 measures, and digits of its upsampled logits (sums of exact sixteenths of 1e-6).
+REACH, DIGITS = 5, 10
+
+
+def mosaic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: every pixel of every condition with upsampled logits, local disagreement and distance to the next label."""
+    logits = images.gather_images(mosaic_logits(spark, sf_dir), ["sample_id", "condition"], {"logits": F.col("logits")})
+    labels = images.gather_images(mosaic_labels(spark, sf_dir), ["sample_id"], {"label": F.col("label")})
+    return images.image_units(logits, labels, ["sample_id", "condition"], "sample_id", 8, REACH, DIGITS)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: scored units with heavy ties."""
     cents = F.round(F.col("value") * 100).cast("bigint")
