@@ -67,8 +67,10 @@ def _mass(text: Column) -> Column:
     return F.greatest(F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)), F.lit(1)).cast("long")
 
 
-def _uniform(doc_id: Column) -> Column:
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def _uniform(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) from the id, or where it is missing from the text."""
+    nameless = F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.coalesce(doc_id.cast("string"), nameless).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -174,16 +176,16 @@ def sampling_cells(docs: DataFrame, topic: Column | None = None, targets: dict |
 def mixture(docs: DataFrame, topic: Column | None = None, targets: dict | None = None, budget: float = BUDGET) -> DataFrame:
     """Per row: doc_id, source, lang, topic, tokens, weight, probability, kept."""
     cells = sampling_cells(docs, topic, targets, budget)
-    rows = docs.select("doc_id", *_categories(topic), _mass(F.col("text")).alias("tokens"))
+    rows = docs.select("doc_id", *_categories(topic), _mass(F.col("text")).alias("tokens"), _uniform(docs["doc_id"], docs["text"]).alias("_u"))
     joined = rows.join(broadcast_if_small(cells, cells.count()), ["_source", "_lang", "_topic"])
-    kept = _uniform(F.col("doc_id")) < F.col("_probability")
+    kept = F.col("_u") < F.col("_probability")
     return joined.select("doc_id", *[F.col(f"_{name}").alias(name) for name in DIMENSIONS], "tokens", F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"), kept.alias("kept"))
 
 
 def sample_mixture(docs: DataFrame, topic: Column | None = None, targets: dict | None = None, budget: float = BUDGET) -> DataFrame:
     """The documents that the mixture keeps, columns unchanged."""
     cells = sampling_cells(docs, topic, targets, budget)
-    rows = packed(docs, *_categories(topic), _uniform(docs["doc_id"]).alias("_u"))
+    rows = packed(docs, *_categories(topic), _uniform(docs["doc_id"], docs["text"]).alias("_u"))
     joined = rows.join(broadcast_if_small(cells, cells.count()), ["_source", "_lang", "_topic"])
     return unpacked(joined.filter(F.col("_u") < F.col("_probability")))
 
@@ -193,7 +195,7 @@ def mixture_sql(rounds: int = ROUNDS) -> str:
     topic = "CASE WHEN contains(text, 'icense') THEN 'legal' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, 'password') OR contains(text, 'AKIA') THEN 'credentials' ELSE 'prose' END"
     wanted = {"source": "pow(m / whole, 0.5)", "lang": "CASE lang WHEN 'en' THEN 0.6 WHEN 'de' THEN 0.15 WHEN 'fr' THEN 0.15 WHEN 'es' THEN 0.1 ELSE m / whole END", "topic": "pow(m / whole, 0.7)"}
     parts = [
-        rf"keyed AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, {topic} AS topic, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS tokens FROM documents)",
+        rf"keyed AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, {topic} AS topic, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS tokens, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0 AS draw FROM documents)",
         "cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS mass FROM keyed GROUP BY ALL)",
     ]
     for name, share in wanted.items():
@@ -209,5 +211,4 @@ def mixture_sql(rounds: int = ROUNDS) -> str:
         f"scale AS (SELECT max(({BUDGET} * whole - full_mass) / rest) AS f FROM ranked WHERE {BUDGET} * whole > full_mass)",
         "sampled AS (SELECT source, lang, topic, w / mass AS weight, least(1.0, f * w / mass) AS probability FROM ranked, scale)",
     ]
-    uniform = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0"
-    return f"WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, {uniform} < probability AS kept FROM keyed JOIN sampled USING (source, lang, topic)"
+    return f"WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, draw < probability AS kept FROM keyed JOIN sampled USING (source, lang, topic)"

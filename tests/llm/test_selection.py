@@ -164,6 +164,16 @@ def test_one_text_beyond_its_share(spark):
     assert len(sizes) == 8 and max(sizes.values()) >= 133 * 316
 
 
+def test_rows_without_an_id_have_draws_of_their_own(spark, duck, same):
+    """A third of the rows lacks ids; the budget holds for them too, and the SQL draws alike."""
+    docs = spark.range(6_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("a text of number "), F.col("id").cast("string"), F.repeat(F.lit(" more"), (F.col("id") % 7).cast("int"))).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    got = mixing.mixture(docs).collect()
+    for nameless in (True, False):
+        rows = [r for r in got if (r["doc_id"] is None) == nameless]
+        assert abs(sum(r["tokens"] for r in rows if r["kept"]) / sum(r["tokens"] * r["probability"] for r in rows) - 1) < 0.05
+    same(got, duck(mixing.mixture_sql(), documents=docs))
+
+
 def test_empty_tables(empty, tests_table):
     assert decontamination.contamination(empty, tests_table).count() == 0
     assert decontamination.contamination(tests_table.select(F.col("item_id").alias("doc_id"), "text"), tests_table.limit(0)).filter("contaminated").count() == 0
