@@ -113,10 +113,10 @@ def review_batch(df: DataFrame, size: int, index: int = 1) -> DataFrame:
         raise ValueError("batch size and index must be positive")
     decision = clean_text("review_decision")
     checked = F.when(decision.isin(*DECISIONS), decision).otherwise(F.raise_error(F.lit("unknown review decision")))
-    page = df.filter(checked == "pending").orderBy(*candidate_order()).offset((index - 1) * size).limit(size)
+    page = cut_lineage(df.filter(checked == "pending").orderBy(*candidate_order()).offset((index - 1) * size).limit(size))
     if page.isEmpty():
         raise ValueError(f"no pending candidates in batch {index}")
-    return page
+    return page.orderBy(*candidate_order())
 
 
 def scene_summary(groups: DataFrame, reviews: DataFrame) -> DataFrame:
