@@ -104,7 +104,7 @@ class ToxicityModel:
         return mean
 
     def score_from(self, mean: float) -> float:
-        base = self.totals[0] / sum(self.totals)
+        base, mean = (min(max(p, 1e-12), 1 - 1e-12) for p in (self.totals[0] / sum(self.totals), mean))
         change = math.log(mean / (1 - mean)) - math.log(base / (1 - base))
         return max(-MOST_SCORE, min(MOST_SCORE, change)) - DRIFT
 
