@@ -75,6 +75,12 @@ def window(text: str, start: int, end: int) -> bytes:
     return codes(text[max(0, start - BEFORE) : start], BEFORE, True) + codes(text[start : min(end, start + INSIDE)], INSIDE, False) + codes(text[end : end + AFTER], AFTER, False)
 
 
+def windows_of(text: str, start: int, end: int) -> list[bytes]:
+    """Windows along a whole candidate, each half over the one before; the last one ends with it."""
+    last = max(start, end - INSIDE)
+    return [window(text, at, end) for at in [*range(start, last, INSIDE // 2), last]]
+
+
 @dataclass
 class SecretModel:
     embedding: np.ndarray
@@ -103,6 +109,11 @@ class SecretModel:
         slope, shift = self.link
         return 1 / (1 + np.exp(-np.clip(slope * self.forward(windows)[0] + shift, -30, 30)))
 
+    def likelihood(self, windows: list[bytes]) -> float:
+        """Of a candidate: that of its likeliest window."""
+        parts = (windows[at : at + 256] for at in range(0, len(windows), 256))
+        return max(float(self.probability(np.array([np.frombuffer(w, np.uint8) for w in part])).max()) for part in parts)
+
     def gradients(self, windows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         logits, columns, best, top = self.forward(windows)
         error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels) / len(labels)
@@ -162,8 +173,10 @@ def _findings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             spans = base_spans(text)
             for start, end in candidates(text):
-                seen = window(text, start, end)
-                rows.append((int(_is_base(spans, start, end)), hashlib.md5(f"{doc_id}:{start}".encode()).hexdigest(), seen))
+                base = _is_base(spans, start, end)
+                # a finding is known by where it starts; no part of any other candidate is one
+                for k, seen in enumerate([window(text, start, end)] if base else windows_of(text, start, end)):
+                    rows.append((int(base), hashlib.md5(f"{doc_id}:{start}:{k}".encode()).hexdigest(), seen))
         yield pd.DataFrame(rows, columns=["label", "order", "window"]).astype({"label": "int32"})
 
 
@@ -196,8 +209,8 @@ def all_spans(text: str, model: SecretModel | None) -> tuple[list[Span], list[Sp
     rest = [(a, b) for a, b in candidates(text) if not _is_base(base, a, b)]
     if not rest:
         return base, base
-    likely = model.probability(np.array([np.frombuffer(window(text, a, b), np.uint8) for a, b in rest])) >= model.threshold
-    return base, sorted([*base, *((a, 3, b) for (a, b), sure in zip(rest, likely) if sure)])
+    sure = [model.likelihood(windows_of(text, a, b)) >= model.threshold for a, b in rest]
+    return base, sorted([*base, *((a, 3, b) for (a, b), found in zip(rest, sure) if found)])
 
 
 def joined(spans: list[Span]) -> str:

@@ -62,6 +62,13 @@ def test_toxicity_on_held_out_rows(spark):
             assert 0 <= s["start"] < s["end"] <= len(r["text"])
 
 
+def test_certain_tokens_have_a_score():
+    """Shares that round to one or to nothing are bounded like any other."""
+    counts = {"rotten": (10**9, 0), **{"rotten"[:n] + "*": (10**9, 0) for n in range(3, 7)}, "kindly": (0, 10**9), **{"kindly"[:n] + "*": (0, 10**9) for n in range(3, 7)}}
+    scores = toxicity.ToxicityModel(counts, (10**9, 10**9)).scores("rotten kindly rottenness")
+    assert scores.tolist() == [toxicity.MOST_SCORE - toxicity.DRIFT, -toxicity.MOST_SCORE - toxicity.DRIFT, toxicity.MOST_SCORE - toxicity.DRIFT]
+
+
 def test_toxic_spans_are_places_of_the_text(spark):
     """Lower-casing that lengthens a text doesn't move its spans."""
     model = toxicity.ToxicityModel({"rot": (50, 0), "the": (50, 400)}, (500, 5000), link=(1.0, 0.0))
@@ -163,6 +170,73 @@ def test_secret_network(spark):
     assert secrets.scan_secrets(docs, model).filter("n_model > 0").count() < 0.001 * docs.count() + 3
 
 
+def test_secret_windows_cover_a_candidate():
+    """Every character of a candidate is inside a window, whatever its length; the likeliest window counts."""
+    text = "see " + "".join(chr(97 + k % 26) for k in range(300)) + "9 end"
+    start, end = secrets.candidates(text)[0]
+    found = secrets.windows_of(text, start, end)
+    inside = [w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] for w in found]
+    assert inside[0] == found[0][secrets.BEFORE :][: secrets.INSIDE] and len(found) == 1 + -(-(end - start - secrets.INSIDE) // (secrets.INSIDE // 2))
+    covered = set()
+    for k, at in enumerate([*range(start, end - secrets.INSIDE, secrets.INSIDE // 2), end - secrets.INSIDE]):
+        assert found[k] == secrets.window(text, at, end)
+        covered |= set(range(at, at + secrets.INSIDE))
+    assert set(range(start, end)) <= covered
+    assert secrets.windows_of("k=abcdefgh12345678", 2, 18) == [secrets.window("k=abcdefgh12345678", 2, 18)]
+    model = secrets.SecretModel.fresh()
+    each = [model.probability(np.array([np.frombuffer(w, np.uint8)]))[0] for w in found]
+    assert model.likelihood(found) == pytest.approx(max(each)) and model.likelihood(found * 40) == pytest.approx(max(each))
+
+
+def test_base_spans_by_a_plain_scan(spark):
+    """Every text of a table, character by character."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    letters, upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def reach(text, at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    def assignment(text, low, at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                k = at + len(name)
+                k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                k = reach(text, k, " ")
+                if text[k : k + 1] not in (":", "=") or k >= len(text):
+                    continue
+                k = reach(text, k + 1, " ")
+                k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                end = reach(text, k, letters)
+                if end > k:
+                    return k, end
+        return None
+
+    for row in docs:
+        text, spans = row["text"] or "", []
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+        at = 0
+        while at < len(text):
+            found = assignment(text, low, at) if low[at] in "psta" else None
+            if found and found[1] - found[0] >= 6:
+                spans.append((at, 0, found[1]))
+            at = found[1] if found else at + 1
+        for kind, allowed, head, least in ((1, upper, "AKIA", 20), (2, "0123456789abcdef", "", 24)):
+            at = 0
+            while at < len(text):
+                at = text.find(head, at) if head else at
+                if at < 0:
+                    break
+                end = reach(text, at + len(head), allowed)
+                if end - at >= least:
+                    spans.append((at, kind, end))
+                at = max(end, at + 1)
+        text_spans = ",".join(f"{secrets.KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
+        assert got[row["doc_id"]]["base_sha256"] == hashlib.sha256(text_spans.encode()).hexdigest(), row["doc_id"]
+
+
 def test_secret_empty_table(empty):
     assert secrets.find_secrets(empty).count() == 0
 
