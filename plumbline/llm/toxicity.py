@@ -122,7 +122,7 @@ class ToxicityModel:
         return np.array(found, dtype=float)
 
     def evidence(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Negative log p-value of the whole text (below zero: how far its best segment or token falls short), and its segments by token."""
+        """Negative log p-value of the whole text (below zero: how far its best segment or token falls short), and the segments by token that stand out of its length."""
         scores = self.scores(text)
         if not len(scores):
             return LEAST_EVIDENCE, []
@@ -138,7 +138,7 @@ class ToxicityModel:
             # for sums that are large beside r, where it is below the sum itself
             tail = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2)
             best = max(best, min(tail, total - r * math.log(2)))
-        return max(LEAST_EVIDENCE, min(best, MOST_EVIDENCE)), found
+        return max(LEAST_EVIDENCE, min(best, MOST_EVIDENCE)), [(a, b, s) for a, b, s in found if self.scale * s > shift]
 
     def probability(self, evidence: float) -> float:
         slope, shift = self.link
