@@ -128,3 +128,29 @@ def test_prediction_parts_are_validated(spark):
 def test_conditions_are_complete(spark, sf_dir):
     out = ev.evaluate_conditions(fx.scored(spark, sf_dir), ["condition"], ["score_a", "score_b"])
     ev.check_complete(out, ["condition", "score_name", "region"], 4 * 2 * 3)
+
+
+def registry_rows():
+    from plumbline.operators.pixels import CONDITIONS
+
+    return [{"name": c.name, "degradation_type": c.degradation_type, "severity": c.severity, "parameters": {k: list(v) if isinstance(v, tuple) else v for k, v in c.parameters.items()}} for c in CONDITIONS]
+
+
+@pytest.mark.parametrize("kind", ["json", "yaml"])
+def test_condition_registry_files(spark, tmp_path, kind):
+    import json
+
+    from plumbline.operators.pixels import CONDITIONS
+    from plumbline.sources import registry
+
+    write = json.dumps if kind == "json" else pytest.importorskip("yaml").safe_dump
+
+    def stored(rows, name):
+        (tmp_path / name).write_text(write({"experiment": {"seed": 1}, "conditions": rows}), encoding="utf-8")
+        return str(tmp_path / name)
+
+    rows = registry_rows()
+    assert registry.read_conditions(spark, stored(rows, f"all.{kind}")) == CONDITIONS
+    for name, bad in {"twice": rows[:-1] + rows[:1], "more": rows + [dict(rows[1], name="extra")], "clean": [dict(rows[0], severity=1), *rows[1:]], "none": []}.items():
+        with pytest.raises(ValueError, match="expected"):
+            registry.read_conditions(spark, stored(bad, f"{name}.{kind}"))
