@@ -8,6 +8,7 @@ numbers per scope reach the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -127,21 +128,21 @@ def _lookup(values: dict[str, float], key: str) -> Column:
     return F.create_map(*pairs)[F.col(key)]
 
 
-def fit_temperature(df: DataFrame, scope: str, classes: int, label: str = "label", tolerance: float = 1e-9) -> DataFrame:
-    """L1: fit every scope of the column ``scope`` (a bounded registry) together.
+def _fit(units: DataFrame, scoped: Callable[[DataFrame], DataFrame], classes: int, tolerance: float) -> DataFrame:
+    """Fit all scopes together over stored ``units`` (label, logits and what ``scoped`` makes ``scope`` of).
 
     Scopes that are settled drop out of the later passes.
     """
-    rows = valid_units(df, classes, label).select(F.col(scope).alias("scope"), F.col(label).alias("label"), "logits")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    units = units.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        searches = {r["scope"]: _Search() for r in rows.select("scope").distinct().collect()}
+        searches = {r["scope"]: _Search() for r in scoped(units.drop("label", "logits").distinct()).select("scope").distinct().collect()}
         if not searches:
             raise ValueError("no valid units to fit")
         for _ in range(MAX_ITERATIONS):
             active = {s: search for s, search in searches.items() if not search.done}
             if not active:
                 break
+            rows = scoped(units)
             part = rows if len(active) == len(searches) else rows.filter(F.col("scope").isin(*active))
             inverse = _lookup({s: search.a for s, search in active.items()}, "scope")
             moments = _with_moments(part, classes, inverse, "label").groupBy("scope")
@@ -150,8 +151,14 @@ def fit_temperature(df: DataFrame, scope: str, classes: int, label: str = "label
                 active[r["scope"]].absorb(r["n"], r["nll"], r["grad"], r["curve"], tolerance)
         out = [search.row(name) for name, search in sorted(searches.items())]
     finally:
-        rows.unpersist()
-    return df.sparkSession.createDataFrame(out, FIT_SCHEMA)
+        units.unpersist()
+    return units.sparkSession.createDataFrame(out, FIT_SCHEMA)
+
+
+def fit_temperature(df: DataFrame, scope: str, classes: int, label: str = "label", tolerance: float = 1e-9) -> DataFrame:
+    """L1: fit every scope of the column ``scope`` (a bounded registry) together."""
+    rows = valid_units(df, classes, label).select(F.col(scope).alias("scope"), F.col(label).alias("label"), "logits")
+    return _fit(rows, lambda units: units, classes, tolerance)
 
 
 def with_scopes(df: DataFrame, scopes: dict[str, list[str]], condition: str = "condition", out: str = "scope") -> DataFrame:
@@ -164,6 +171,10 @@ def with_scopes(df: DataFrame, scopes: dict[str, list[str]], condition: str = "c
     return df.withColumn(out, F.explode(F.create_map(*pairs)[F.col(condition)]))
 
 
-def fit_scopes(df: DataFrame, scopes: dict[str, list[str]], classes: int, condition: str = "condition", label: str = "label") -> DataFrame:
-    """L3: clean, pooled and per-type temperatures in the same passes."""
-    return fit_temperature(with_scopes(df, scopes, condition), "scope", classes, label)
+def fit_scopes(df: DataFrame, scopes: dict[str, list[str]], classes: int, condition: str = "condition", label: str = "label", tolerance: float = 1e-9) -> DataFrame:
+    """L3: clean, pooled and per-type temperatures in the same passes.
+
+    Units are stored once, each pass fans them out anew.
+    """
+    rows = valid_units(df, classes, label).select(F.col(condition).alias("_condition"), F.col(label).alias("label"), "logits")
+    return _fit(rows, lambda units: with_scopes(units, scopes, "_condition"), classes, tolerance)
